@@ -21,6 +21,7 @@ LOWER_KEYS[65:91] = BYTE_KEYS[97:123]
 _B = U(0x9E3779B97F4A7C15 & ~7 | 3)
 _B_INV = U(pow(int(_B), -1, 2**64))
 WORD_KEYS = _rng.randint(0, 2**64, 8, dtype=U) | U(1)
+_SEEDS = [U(k * 0x8CB92BA72F3D8DD7 % 2**64) for k in range(9)]
 #: Word separators: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -129,7 +130,7 @@ def windows(hashes: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarr
     if not begin[-1]:
         return np.zeros(0, U), begin
     n = len(hashes) - size + 1
-    total = np.full(n, U(size) * U(0x8CB92BA72F3D8DD7), U)
+    total = np.full(n, _SEEDS[size], U)
     for k in range(size):
         total += hashes[k : k + n] * WORD_KEYS[k]
     index = np.repeat(at[:-1] - begin[:-1], count) + np.arange(begin[-1])
@@ -138,7 +139,4 @@ def windows(hashes: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarr
 
 def sequence_hash(hashes: np.ndarray) -> np.ndarray:
     """One hash of a whole sequence of fewer than five words."""
-    total = U(len(hashes)) * U(0x8CB92BA72F3D8DD7)
-    for k, h in enumerate(hashes):
-        total = total + h * WORD_KEYS[k]
-    return mix(np.array([total], U))
+    return mix(_SEEDS[len(hashes)] + (hashes * WORD_KEYS[: len(hashes)]).sum(keepdims=True, dtype=U))
