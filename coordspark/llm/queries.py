@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import chat, exact_topk, html_text, packing, quality_classifier, quality_rules, warc
+from coordspark.llm import chat, exact_topk, html_text, jaccard_join, licenses, mixing, packing, quality_classifier, quality_rules, warc
 from coordspark.llm.tables import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "copies")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -53,5 +66,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("conv_id", chat.read_back("formatted", "spans").alias("r")).select("conv_id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (op4_html_extraction, op5_packing, op6_quality_classifier, op7_exact_topk, op8_warc, op9_quality_rules, op10_chat)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_license_scan, op4_html_extraction, op5_packing, op6_quality_classifier, op7_exact_topk, op8_warc, op9_quality_rules, op10_chat)}
+ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}
