@@ -1,11 +1,53 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""The corpus pipeline: each stage reads what its predecessor kept and writes Parquet."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coordspark.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules
+from coordspark.llm.queries import byte_bpe
+from coordspark.llm.tables import table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier doesn't reject."""
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
+
+
+def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality rules keep, without the lines that failed."""
+    kept = quality_rules.clean(docs).where("quality_rules.kept")
+    text = F.col("quality_rules.clean_text")
+    return kept.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of smallest id; rows without an id stay."""
+    first = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionAll(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks."""
+    return mixing.repeated(mixing.mix(docs)).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all sequences."""
+    return packing.pack(docs, byte_bpe())
+
+
+STAGES = [("quality_classifier", classified), ("quality_rules", cleaned), ("jaccard_join", distinct), ("mixing", mixed), ("packing", packed)]
+#: Learned scores can't be stated in SQL; the tests hold each stage against its operator.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
