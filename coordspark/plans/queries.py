@@ -1,4 +1,133 @@
 """Registered queries over the driver's tables and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coordspark.functions import crs, formatting, parse
+from coordspark.operators import regions
+from coordspark.plans.survey import survey_sql
+
+MAINLAND = "Portugal mainland"
+
+
+def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(survey_sql("{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, sample, raw cells, lat and lon rounded to six decimals."""
+    read = parse.with_coordinates(survey(spark, sf_dir), {"lat": "lat_raw", "lon": "lon_raw"})
+    return read.withColumns({c: formatting.round_half_even(F.col(c)) for c in ("lat", "lon")})
+
+
+def parse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("row_id", "lat", "lon")
+
+
+def axis_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = survey(spark, sf_dir)
+    return cells.select("row_id", parse.axis_mismatch(F.col("lat_raw"), F.col("lon_raw")).alias("mismatch"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mismatch = parse.axis_mismatch(F.col("lat_raw"), F.col("lon_raw"))
+    return points(spark, sf_dir).withColumn("status", regions.classify(F.col("lat"), F.col("lon"), MAINLAND, mismatch))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).groupBy("sample", "status").agg(F.count("*").alias("n"))
+
+
+def region_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by region and status, once accepted swaps are applied."""
+    labelled = _labelled(spark, sf_dir)
+    fixed = regions.swapped(labelled, F.col("status").startswith("swap_"))
+    region = regions.identify_region(F.col("lat"), F.col("lon"))
+    return fixed.groupBy(F.coalesce(region, F.lit("none")).alias("region"), "status").agg(F.count("*").alias("n"))
+
+
+def extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regions.extent(points(spark, sf_dir), "sample")
+    return found.withColumns({c: F.round(c, 6) for c in ("lat_mean", "lon_mean")})
+
+
+def dms_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return p.select("row_id", formatting.format_dms(F.col("lat"), "lat").alias("lat_dms"), formatting.format_dms(F.col("lon"), "lon").alias("lon_dms"))
+
+
+def wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("row_id", formatting.wkt_point(F.col("lat"), F.col("lon")).alias("wkt"))
+
+
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points in the national grid, to a decimetre, and back to degrees."""
+    good = points(spark, sf_dir)
+    ok = regions.in_region(F.col("lat"), F.col("lon"), MAINLAND)
+    x, y = crs.transform(F.when(ok, F.col("lon")), F.when(ok, F.col("lat")), 4326, 3763)
+    there = good.select("row_id", "lat", "lon", x.alias("x"), y.alias("y"))
+    lon, lat = crs.transform(F.col("x"), F.col("y"), 3763, 4326)
+    return there.select("row_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), ((F.abs(lat - F.col("lat")) < 1e-8) & (F.abs(lon - F.col("lon")) < 1e-8)).alias("back"))
+
+
+def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    cell = F.concat(F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "", "-9.5 "))), F.pmod("c_custkey", F.lit(6)).cast("int") + 1), F.col("c_name"))
+    return customer.select("c_custkey", formatting.csv_safe(cell).alias("cell"))
+
+
+QUERIES = {f.__name__: f for f in (region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells)}
+
+
+def _oracle() -> dict[str, str]:
+    def letter(c: str) -> str:
+        return f"upper(regexp_extract(replace({c}, 'º', '°'), '(?:^|[^A-Za-z])([NSEWOLnsewol])(?:$|[^A-Za-z])', 1))"
+
+    def value(c: str) -> str:
+        n = f"list_transform(regexp_extract_all({c}, '[0-9]+(?:[.,][0-9]+)?'), lambda x: CAST(replace(x, ',', '.') AS DOUBLE))"
+        size = f"({n}[1] + coalesce({n}[2], 0) / 60 + coalesce({n}[3], 0) / 3600)"
+        sign = f"CASE WHEN {letter(c)} IN ('S', 'W', 'O') OR ({letter(c)} = '' AND regexp_matches({c}, '^-[0-9]')) THEN -1 ELSE 1 END"
+        return f"CASE WHEN len({n}) > 0 AND NOT coalesce({n}[2] >= 60, false) AND NOT coalesce({n}[3] >= 60, false) THEN {sign} * round_even({size} * 1e6, 0) / 1e6 END"
+
+    def inside(lat: str, lon: str, name: str) -> str:
+        return "(" + " OR ".join(f"({lat} BETWEEN {a} AND {b} AND {lon} BETWEEN {c} AND {d})" for a, b, c, d in regions.REGIONS[name]) + ")"
+
+    def dms(v: str, axis: str) -> str:
+        most, plus, minus = (90, "N", "S") if axis == "lat" else (180, "E", "W")
+        whole = f"((abs({v}) - floor(abs({v}))) * 60)"
+        units = f"CAST(round_even(({whole} - floor({whole})) * 60 * 1000, 0) AS BIGINT)"
+        total = f"(CAST(floor(abs({v})) AS BIGINT) * 3600000 + CAST(floor({whole}) AS BIGINT) * 60000 + {units})"
+        seconds = f"regexp_replace(regexp_replace(CAST({total} % 60000 // 1000 AS VARCHAR) || '.' || lpad(CAST({total} % 1000 AS VARCHAR), 3, '0'), '0+$', ''), '\\.$', '')"
+        return f"""CASE WHEN {v} BETWEEN -{most} AND {most} THEN ({total} // 3600000) || '° ' || ({total} // 60000 % 60) || ''' ' || {seconds} || '" ' || CASE WHEN {v} < 0 THEN '{minus}' ELSE '{plus}' END END"""
+
+    def plain(v: str) -> str:
+        return f"regexp_replace(regexp_replace(printf('%.10f', {v}), '0+$', ''), '\\.$', '.0')"
+
+    ok = lambda a, b: f"({a} BETWEEN -90 AND 90 AND {b} BETWEEN -180 AND 180)"
+    axis = lambda c: f"CASE WHEN {letter(c)} IN ('N', 'S') THEN 'lat' WHEN {letter(c)} <> '' THEN 'lon' ELSE '' END"
+    mismatch = f"({axis('lat_raw')} = 'lon' OR {axis('lon_raw')} = 'lat')"
+    base = f"WITH cells AS ({survey_sql()}), pts AS (SELECT *, {value('lat_raw')} AS lat, {value('lon_raw')} AS lon FROM cells)"
+    label = f"""{base}, labelled AS (SELECT *, CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing'
+        WHEN {mismatch} AND ({ok('lat', 'lon')} OR {ok('lon', 'lat')}) THEN 'swap_axis'
+        WHEN {ok('lat', 'lon')} AND NOT {inside('lat', 'lon', MAINLAND)} AND {inside('lon', 'lat', MAINLAND)} THEN 'swap_cluster'
+        WHEN {ok('lat', 'lon')} THEN 'ok' WHEN {ok('lon', 'lat')} THEN 'swap_range' ELSE 'out_of_range' END AS status FROM pts)"""
+    region = "CASE " + " ".join(f"WHEN {inside('a', 'o', name)} THEN '{name}'" for name in regions.REGIONS) + " ELSE 'none' END"
+    return {
+        "parse_points": f"{base} SELECT row_id, lat, lon FROM pts",
+        "axis_mismatches": f"{base} SELECT row_id, {mismatch} AS mismatch FROM cells",
+        "status_counts": f"{label} SELECT sample, status, count(*) AS n FROM labelled GROUP BY ALL",
+        "region_status": f"""{label}, fixed AS (SELECT status, CASE WHEN status LIKE 'swap%' THEN lon ELSE lat END AS a,
+            CASE WHEN status LIKE 'swap%' THEN lat ELSE lon END AS o FROM labelled)
+            SELECT {region} AS region, status, count(*) AS n FROM fixed GROUP BY ALL""",
+        "extent": f"""{base} SELECT sample, count(*) AS n, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max,
+            round(avg(lat), 6) AS lat_mean, round(avg(lon), 6) AS lon_mean FROM pts WHERE {ok('lat', 'lon')} GROUP BY sample""",
+        "dms_text": f"{base} SELECT row_id, {dms('lat', 'lat')} AS lat_dms, {dms('lon', 'lon')} AS lon_dms FROM pts",
+        "wkt": f"{base} SELECT row_id, CASE WHEN {ok('lat', 'lon')} THEN 'POINT (' || {plain('lon')} || ' ' || {plain('lat')} || ')' END AS wkt FROM pts",
+        "safe_cells": """SELECT c_custkey, CASE WHEN c_custkey % 6 <> 4 THEN '''' ELSE '' END
+            || ['=', '+', '-', '@', '', '-9.5 '][c_custkey % 6 + 1] || c_name AS cell FROM customer""",
+    }
+
+
+ORACLE = _oracle()
