@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 from math import radians, sqrt
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Semi-major axis and inverse flattening.
@@ -107,61 +109,78 @@ def _origin(s: System) -> float:
 
 
 def _from_tm(s: System, x: Column, y: Column) -> tuple[Column, Column]:
-    e, radius, _, inverse = _series(s.ellipsoid)
+    _, radius, _, inverse = _series(s.ellipsoid)
     xi = ((y - s.y_0) / s.scale + _origin(s)) / radius
     eta = (x - s.x_0) / (s.scale * radius)
     p, q = xi, eta
     for k, c in enumerate(inverse, 1):
         p = p - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
         q = q - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    conformal = F.asin(F.sin(p) / F.cosh(q))
-    psi = F.atanh(F.sin(conformal))
-    lat = conformal
-    for _ in range(5):
-        lat = F.asin(F.tanh(psi + e * F.atanh(e * F.sin(lat))))
-    return F.degrees(lat), F.degrees(F.atan2(F.sinh(q), F.cos(p))) + s.lon_0
+    return F.asin(F.sin(p) / F.cosh(q)), F.degrees(F.atan2(F.sinh(q), F.cos(p))) + s.lon_0
 
 
-def _shifted(lat: Column, lon: Column, source: str, target: str, shift: tuple[float, ...], back: bool) -> tuple[Column, Column]:
-    """Seven-parameter shift by position vectors; the way back inverts the small rotation exactly enough at first order twice."""
-    a, inv = ELLIPSOIDS[source]
+def _geographic(s: System, conformal: Column, lon: Column) -> tuple[Column, Column]:
+    """Latitude from the conformal one by its series in the third flattening."""
+    f = 1 / ELLIPSOIDS[s.ellipsoid][1]
+    n = f / (2 - f)
+    series = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    return F.degrees(conformal + sum((c * F.sin(2 * k * conformal) for k, c in enumerate(series, 1)), F.lit(0.0))), lon
+
+
+def _to_space(ellipsoid: str, lat: Column, lon: Column) -> tuple[Column, ...]:
+    a, inv = ELLIPSOIDS[ellipsoid]
     e2 = (2 - 1 / inv) / inv
     phi, lam = F.radians(lat), F.radians(lon)
     v = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-    x, y, z = v * F.cos(phi) * F.cos(lam), v * F.cos(phi) * F.sin(lam), v * (1 - e2) * F.sin(phi)
-    dx, dy, dz = shift[:3]
+    return v * F.cos(phi) * F.cos(lam), v * F.cos(phi) * F.sin(lam), v * (1 - e2) * F.sin(phi)
+
+
+def _moved(shift: tuple[float, ...], back: bool, *xyz: Column) -> tuple[Column, ...]:
+    """The seven-parameter shift by position vectors, or its exact inverse."""
     rx, ry, rz = (radians(r / 3600) for r in shift[3:6])
-    m = 1 + shift[6] * 1e-6
+    m = (1 + shift[6] * 1e-6) * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]])
+    add = np.array(shift[:3])
     if back:
-        x0, y0, z0 = (x - dx) / m, (y - dy) / m, (z - dz) / m
-        x, y, z = x0, y0, z0
-        for _ in range(3):
-            x, y, z = x0 + rz * y - ry * z, y0 - rz * x + rx * z, z0 + ry * x - rx * y
-    else:
-        x, y, z = dx + m * (x - rz * y + ry * z), dy + m * (rz * x + y - rx * z), dz + m * (-ry * x + rx * y + z)
-    b, inv = ELLIPSOIDS[target]
+        m = np.linalg.inv(m)
+        add = -m @ add
+    return tuple(float(add[i]) + sum((float(m[i, j]) * xyz[j] for j in range(3)), F.lit(0.0)) for i in range(3))
+
+
+def _from_space(ellipsoid: str, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Latitude in closed form, good to far under a millimetre near the ground."""
+    a, inv = ELLIPSOIDS[ellipsoid]
+    b = a * (1 - 1 / inv)
     e2 = (2 - 1 / inv) / inv
     p = F.sqrt(x * x + y * y)
-    phi = F.atan2(z, p * (1 - e2))
-    for _ in range(4):
-        s = F.sin(phi)
-        phi = F.atan2(z + e2 * b * s / F.sqrt(1 - e2 * s * s), p)
-    return F.degrees(phi), F.degrees(F.atan2(y, x))
+    theta = F.atan2(z * a, p * b)
+    lat = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(theta), 3), p - e2 * a * F.pow(F.cos(theta), 3))
+    return F.degrees(lat), F.degrees(F.atan2(y, x))
+
+
+def _legs(a: System, b: System) -> list:
+    """Functions of columns from (x, y) of one system to those of the other, through WGS84."""
+    legs = [partial(_from_tm, a), partial(_geographic, a)] if a.projected else [lambda x, y: (y, x)]
+    for s, back in ((a, False), (b, True)):
+        if s.shift:
+            ends = ("WGS84", s.ellipsoid) if back else (s.ellipsoid, "WGS84")
+            legs += [partial(_to_space, ends[0]), partial(_moved, s.shift, back), partial(_from_space, ends[1])]
+    return legs + [partial(_to_tm, b) if b.projected else (lambda lat, lon: (lon, lat))]
+
 
+def transform(df: DataFrame, x: str, y: str, source: int, target: int, out: tuple[str, str] = ("x_out", "y_out")) -> DataFrame:
+    """The frame with x and y of the target system; null where a value is null or not finite.
 
-def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """x and y of the target, in that order; null where a value is null or not finite. Two legs through WGS84."""
+    Each leg's values are columns on the way, so a plan computes them once.
+    """
     a, b = get(source), get(target)
     for s in (a, b):
         if s.needs_grid and a != b:
             raise ValueError(f"system {s.code} needs a grid file, and none is installed")
-    if a == b:
-        return x, y
-    lat, lon = (y, x) if not a.projected else _from_tm(a, x, y)
-    if a.shift:
-        lat, lon = _shifted(lat, lon, a.ellipsoid, "WGS84", a.shift, False)
-    if b.shift:
-        lat, lon = _shifted(lat, lon, "WGS84", b.ellipsoid, b.shift, True)
-    out = (lon, lat) if not b.projected else _to_tm(b, lat, lon)
-    finite = (F.abs(out[0]) < float("inf")) & (F.abs(out[1]) < float("inf"))
-    return F.when(finite, out[0]), F.when(finite, out[1])
+    keep = [c for c in df.columns if c not in out]
+    values = (F.col(x), F.col(y))
+    for k, leg in enumerate([] if a == b else _legs(a, b)):
+        made = dict(zip((f"_leg{k}_{i}" for i in range(3)), leg(*values)))
+        df = df.withColumns(made)
+        values = tuple(map(F.col, made))
+    finite = (F.abs(values[0]) < float("inf")) & (F.abs(values[1]) < float("inf"))
+    return df.select(*keep, *(F.when(finite, v).alias(name) for v, name in zip(values, out, strict=True)))

@@ -64,12 +64,12 @@ def wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points in the national grid, to a decimetre, and back to degrees."""
-    good = points(spark, sf_dir)
     ok = regions.in_region(F.col("lat"), F.col("lon"), MAINLAND)
-    x, y = crs.transform(F.when(ok, F.col("lon")), F.when(ok, F.col("lat")), 4326, 3763)
-    there = good.select("row_id", "lat", "lon", x.alias("x"), y.alias("y"))
-    lon, lat = crs.transform(F.col("x"), F.col("y"), 3763, 4326)
-    return there.select("row_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), ((F.abs(lat - F.col("lat")) < 1e-8) & (F.abs(lon - F.col("lon")) < 1e-8)).alias("back"))
+    good = points(spark, sf_dir).withColumns({c: F.when(ok, F.col(c)) for c in ("lat", "lon")})
+    there = crs.transform(good, "lon", "lat", 4326, 3763, ("x", "y"))
+    back = crs.transform(there, "x", "y", 3763, 4326, ("lon2", "lat2"))
+    near = (F.abs(F.col("lat2") - F.col("lat")) < 1e-8) & (F.abs(F.col("lon2") - F.col("lon")) < 1e-8)
+    return back.select("row_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), near.alias("back"))
 
 
 def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
