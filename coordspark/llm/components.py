@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.tables import written
+from coordspark.llm.tables import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         p, q = far.select(F.col("node").alias("a"), F.col("up").alias("pa")), far.select(F.col("node").alias("b"), F.col("up").alias("pb"))
         moved = live.join(p, "a").join(q, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         onward = far.alias("x").join(far.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.up").alias("a"), F.col("y.up").alias("b"))
+        done = live
         live = written(moved.unionAll(onward).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+        older = labels
         if labels is None:
             labels = far.select("node", F.col("up").alias("component"))
         else:
             labels = labels.join(far.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         labels = written(labels, "cc-labels")
+        discard(done, hook, far, *([] if older is None else [older]))
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     return labels

@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 from coordspark.llm import text as tx
 from coordspark.llm.components import components
-from coordspark.llm.tables import written
+from coordspark.llm.tables import discard, written
 
 BUCKETS = 1 << 18
+#: Bits of the filter of ids that have candidates; 8 MB to each task at any size.
+BITS = 1 << 26
 SHINGLE = 5
 #: The most leaders that are called heavy; each has over 1/HEAVY of all pairs.
 HEAVY = 1000
@@ -122,19 +124,40 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - pos, m - at) >= 3 * (n + m))
 
 
+def _named(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that the pairs may name: all of those, and few others. Joins then shuffle these alone."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+    slot = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
+    words = slot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(BITS >> 6, np.int64)
+    table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shared = pairs.sparkSession.sparkContext.broadcast(table)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((filled[s >> 6] >> (s & 63)) & 1 == 1))
+
+    return sets.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s")).mapInArrow(some, "id long, shingles array<long>")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; an id in very many pairs is spread over salts."""
     pairs = written(pairs.where("a <> b").distinct(), "jaccard-pairs")
     total = pairs.count()
     if not total:
         return pairs
+    sets = written(_named(pairs, sets), "jaccard-named")
     share = max(64, total // HEAVY)
     heavy = F.broadcast(pairs.groupBy("b").count().where(F.col("count") > share).select(F.col("b"), F.ceil(F.col("count") / share).cast("int").alias("k")))  # at most HEAVY rows
     salted = pairs.join(heavy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1))).alias("salt"))
     right = sets.join(heavy.withColumnRenamed("b", "id"), "id", "left").select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)).cast("long") - 1)).alias("salt"))
     both = salted.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(right, ["b", "salt"])
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return shared.where("100 * i >= 75 * (sum - i)").select("a", "b")
+    found = written(shared.where("100 * i >= 75 * (sum - i)").select("a", "b"), "jaccard-links")
+    discard(pairs, sets)
+    return found
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -149,7 +172,9 @@ def links(sets: DataFrame) -> DataFrame:
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     entries = prefix_tokens(sets).withColumn("block", block)
     shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    live = written(entries.join(shared, "token"), "jaccard-index")
+    shared = written(shared, "jaccard-shared")
+    live = written(entries.join(shared, "token", "left_semi"), "jaccard-index")
+    discard(shared)
     found: list[DataFrame] = []
     labels = None
     for turn in (0, 1):
@@ -157,7 +182,9 @@ def links(sets: DataFrame) -> DataFrame:
         best = F.min_by(F.struct("id", "n", "pos", "comp"), F.xxhash64(F.lit(turn), "id"))
         leaders = here.groupBy("token", "block").agg(best.alias("to"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "block", "to")
         met = here.join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
-        found.append(written(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), sets), "jaccard-links"))
+        found.append(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), sets))
+        if labels is not None:
+            discard(here)
         labels = components(reduce(DataFrame.unionAll, found))
     here = written(_labelled(live, labels), "jaccard-live")
     blocks = written(here.groupBy("token", "block").agg(*(f(c).alias(name) for name, f, c in (("lo", F.min, "comp"), ("hi", F.max, "comp"), ("pos", F.min, "pos"), ("least", F.min, "n"), ("most", F.max, "n")))), "jaccard-blocks")
@@ -171,7 +198,8 @@ def links(sets: DataFrame) -> DataFrame:
     near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.other") == F.col("b.other")))
     ordered = (F.col("a.block") < F.col("a.other")) | (F.col("a.id") < F.col("b.id"))
     near = near.where(ordered & (F.col("a.comp") != F.col("b.comp")) & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
-    found.append(written(verified(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), sets), "jaccard-links"))
+    found.append(verified(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), sets))
+    discard(live, here, blocks, meet)
     return reduce(DataFrame.unionAll, found)
 
 
@@ -190,6 +218,7 @@ def join(docs: DataFrame) -> DataFrame:
     twice = has.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("a"))
     edges = links(sets).unionAll(same.join(twice, "a", "left_semi"))
     labels = components(edges).withColumnRenamed("node", "id")
+    discard(sets)
     named = has.join(classes, "digest").join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     rest = light.where("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionAll(rest)
