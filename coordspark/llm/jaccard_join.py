@@ -68,55 +68,61 @@ def _digests(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["n", "digest"])
 
 
-def _lists(texts: pa.Array) -> pa.Array:
-    sets = list(_all_sets(texts))
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, tx.U), *sets]).view(np.int64)))
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(tx.U)
-        total += np.bincount((tokens % tx.U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        for tokens in _all_sets(batch.column(0)):
+            total += np.bincount((tokens % tx.U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
 
-def prefix_tokens(sets: DataFrame) -> DataFrame:
-    """The index entries of each set: token, id, n, pos."""
-    spark = sets.sparkSession
+def _rows(ids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+    at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, tx.U), *tokens]).view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "n", "tokens"])
+
+
+def _listed(batch: pa.RecordBatch, pick=lambda s: s) -> Iterator[pa.RecordBatch]:
+    """Id, set size and what is picked of each set, in batches of bounded size; empty sets are left out."""
+    ids, sizes, kept, size = [], [], [], 0
+    for id_, s in zip(batch.column(0).to_pylist(), _all_sets(batch.column(1)), strict=True):
+        if len(s):
+            ids.append(id_)
+            sizes.append(len(s))
+            kept.append(pick(s))
+            size += len(kept[-1])
+            if size > 1 << 18:
+                yield _rows(ids, sizes, kept)
+                ids, sizes, kept, size = [], [], [], 0
+    if ids:
+        yield _rows(ids, sizes, kept)
+
+
+LISTED = "id long, n int, tokens array<long>"
+
+
+def prefixes(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The index entries of each class's first document: id, n and its first tokens in order; the input is id, text."""
     table = np.zeros(BUCKETS, np.int64)
-    found = sets.select("shingles").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
+
+        def first(keys: np.ndarray) -> np.ndarray:
+            n = len(keys)
+            return keys[np.lexsort((keys, order[(keys % tx.U(BUCKETS)).astype(np.int64)]))[: n - -(-3 * n // 4) + 1]]
+
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            size = 0
-            for id_, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = s.values.to_numpy(zero_copy_only=False)
-                keys = tokens.view(tx.U)
-                n = len(tokens)
-                p = n - -(-3 * n // 4) + 1
-                first = np.lexsort((keys, order[(keys % tx.U(BUCKETS)).astype(np.int64)]))[:p]
-                for part, x in zip(parts, (tokens[first], np.full(p, id_), np.full(p, n), np.arange(p)), strict=True):
-                    part.append(x)
-                size += p
-                if size > 1 << 17:
-                    yield _batch(parts)
-                    parts, size = [[], [], [], []], 0
-            if size:
-                yield _batch(parts)
-
-    return sets.select("id", "shingles").mapInArrow(entries, "token long, id long, n int, pos int")
-
-
-def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    kinds = (np.int64, np.int64, np.int32, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(k)) for p, k in zip(parts, kinds, strict=True)], ["token", "id", "n", "pos"])
+            yield from _listed(batch, first)
+
+    lists = written(docs.mapInArrow(entries, LISTED), "jaccard-prefixes")
+    kept = written(lists.join(firsts, "id", "left_semi"), "jaccard-prefixes")
+    discard(lists)
+    return kept
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -124,7 +130,7 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - pos, m - at) >= 3 * (n + m))
 
 
-def _named(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _named(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The sets that the pairs may name: all of those, and few others. Joins then shuffle these alone."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
     slot = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
@@ -137,18 +143,19 @@ def _named(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         filled = shared.value
         for batch in batches:
             s = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array((filled[s >> 6] >> (s & 63)) & 1 == 1))
+            yield from _listed(batch.filter(pa.array((filled[s >> 6] >> (s & 63)) & 1 == 1)))
 
-    return sets.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s")).mapInArrow(some, "id long, shingles array<long>")
+    keyed = docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
+    return keyed.mapInArrow(some, LISTED).select("id", F.col("tokens").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; an id in very many pairs is spread over salts."""
     pairs = written(pairs.where("a <> b").distinct(), "jaccard-pairs")
     total = pairs.count()
     if not total:
         return pairs
-    sets = written(_named(pairs, sets), "jaccard-named")
+    sets = written(_named(pairs, docs), "jaccard-named")
     share = max(64, total // HEAVY)
     heavy = F.broadcast(pairs.groupBy("b").count().where(F.col("count") > share).select(F.col("b"), F.ceil(F.col("count") / share).cast("int").alias("k")))  # at most HEAVY rows
     salted = pairs.join(heavy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1))).alias("salt"))
@@ -167,14 +174,15 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between sets, enough of them to connect whatever is connected."""
+def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of first documents, enough of them to connect whatever is connected."""
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    entries = prefix_tokens(sets).withColumn("block", block)
+    lists = prefixes(docs, firsts)
+    entries = lists.select(F.posexplode("tokens").alias("pos", "token"), "id", "n", block.alias("block"))
     shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
     shared = written(shared, "jaccard-shared")
     live = written(entries.join(shared, "token", "left_semi"), "jaccard-index")
-    discard(shared)
+    discard(shared, lists)
     found: list[DataFrame] = []
     labels = None
     for turn in (0, 1):
@@ -182,7 +190,7 @@ def links(sets: DataFrame) -> DataFrame:
         best = F.min_by(F.struct("id", "n", "pos", "comp"), F.xxhash64(F.lit(turn), "id"))
         leaders = here.groupBy("token", "block").agg(best.alias("to"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "block", "to")
         met = here.join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
-        found.append(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), sets))
+        found.append(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), docs))
         if labels is not None:
             discard(here)
         labels = components(reduce(DataFrame.unionAll, found))
@@ -198,7 +206,7 @@ def links(sets: DataFrame) -> DataFrame:
     near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.other") == F.col("b.other")))
     ordered = (F.col("a.block") < F.col("a.other")) | (F.col("a.id") < F.col("b.id"))
     near = near.where(ordered & (F.col("a.comp") != F.col("b.comp")) & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
-    found.append(verified(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), sets))
+    found.append(verified(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), docs))
     discard(live, here, blocks, meet)
     return reduce(DataFrame.unionAll, found)
 
@@ -210,15 +218,12 @@ def join(docs: DataFrame) -> DataFrame:
     light = written(light, "jaccard-digests")
     has = light.where("digest is not null and doc_id is not null")
     classes = written(has.groupBy("digest").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    ids = classes.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.arrow_udf(_lists, "array<long>")("text").alias("shingles"))
-    sets = written(sets.where(F.size("shingles") > 0), "jaccard-sets")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
     # an id given to several texts joins their classes
     same = has.join(classes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     twice = has.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("a"))
-    edges = links(sets).unionAll(same.join(twice, "a", "left_semi"))
+    edges = links(texts, classes.select("id").distinct()).unionAll(same.join(twice, "a", "left_semi"))
     labels = components(edges).withColumnRenamed("node", "id")
-    discard(sets)
     named = has.join(classes, "digest").join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     rest = light.where("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionAll(rest)
