@@ -2,7 +2,7 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. Documents of equal sets
 form a class and answer alike. Tokens are ordered by how frequent they are (a table of
-form a class and answer alike. Tokens are ordered by how frequent they are (a table of
+2**18 hashed counts over all documents, so what is broadcast is bounded at any size; any
 order gives whole results), and a set of n is indexed by its first n - ceil(3n/4) + 1
 tokens. Index lists are split into blocks by size.
 
