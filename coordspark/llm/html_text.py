@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. Blocks inside elements that never
 article (navigation, forms, scripts, comments of readers and the like, by tag, role, class
 or id) are out. First pass: link density, length and stop-word density call the others
 good, bad or ambiguous. Second pass: headings and short or ambiguous blocks take the label
-of their nearest decided neighbours. An ``article`` or ``main`` element bounds the search
+of their nearest decided neighbours. End tags are matched at any depth, and those that
+HTML lets pages leave out (of paragraphs, list items, rows, cells and the head) are implied. An ``article`` or ``main`` element bounds the search
 where a page has one, and its paragraphs without links are decided good there.
 
 Null and empty pages give the empty text. Rows stand alone; other columns pass unread.
@@ -25,6 +26,10 @@ SKIPPED_TAGS = frozenset("nav header footer aside form menu button select option
 RAW_TAGS = frozenset("script style textarea title noscript iframe template".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: What a start tag ends where the end tag was left out: items up to the next special element, rows and cells up to their table.
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")} | dict.fromkeys(("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot", "tr", "td", "th"))
+SPECIAL = BLOCK_TAGS - {"address", "div", "p"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 STOP_WORDS = frozenset("a and are as at be by for from has have he in is it not of on or that the this to was were which with aber als auch auf das dem den der des die ein eine er es für im ist mit nicht sich sie und von zu con de del el en la las lo los no para por que se su un una y au aux ce dans des du elle est et il je le les ne pas plus pour qui sur une".split())
 FEW_CHARS, MANY_CHARS, LOW_STOPS, HIGH_STOPS, MOST_LINKS = 70, 200, 0.1, 0.2, 0.33
@@ -51,6 +56,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether each starts surroundings
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a tag are
+    special: list[int] = []  # where its special elements are
     skipping = articles = links = linked = 0
     heading = False
     at, n = 0, len(page)
@@ -69,6 +76,17 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             parts.append(page[at:stop])
             linked += (stop - at) if links else 0
 
+    def close(place: int) -> None:
+        nonlocal skipping, articles, links
+        while len(stack) > place:
+            name, out_of = stack.pop()
+            places[name].pop()
+            if name in SPECIAL:
+                special.pop()
+            skipping -= out_of
+            articles -= name in ("article", "main")
+            links -= name == "a"
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -82,14 +100,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         elif tag == "br" and not skipping:
             parts.append(" ")
         if m[1]:
-            if any(name == tag for name, _ in stack[-64:]):
-                while stack:
-                    name, out_of = stack.pop()
-                    skipping -= out_of
-                    articles -= name in ("article", "main")
-                    links -= name == "a"
-                    if name == tag:
-                        break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in RAW_TAGS:
             shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -97,9 +109,19 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        if tag in BLOCK_TAGS and stack and stack[-1][0] == "p":
-            skipping -= stack.pop()[1]
+        if stack and (stack[-1][0] == "head" or (tag in BLOCK_TAGS and stack[-1][0] == "p")):
+            close(len(stack) - 1)
+        if tag in ITEMS and special and stack[special[-1]][0] in ITEMS[tag]:
+            close(special[-1])
+        elif tag in CELLS:
+            outside = places["table"][-1] if places.get("table") else -1
+            open_cells = [places[c][-1] for c in CELLS[tag] if places.get(c) and places[c][-1] > outside]
+            if open_cells:
+                close(min(open_cells))
         surrounds = _surrounds(tag, m[3]) and not (tag == "header" and articles)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SPECIAL:
+            special.append(len(stack))
         stack.append((tag, surrounds))
         skipping += surrounds
         articles += tag in ("article", "main")

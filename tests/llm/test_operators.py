@@ -90,6 +90,23 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
 
 
+@pytest.mark.parametrize("item", ["<li>menu {}", "<dt>t {}<dd>d", "<li><b>menu {}"])
+def test_html_unclosed_items(item):
+    story = "<article><p>It is the story of the day and it was told in the town.</article>"
+    page = "<body><nav><ul>" + "".join(item.format(k) for k in range(500)) + "</ul></nav>" + story
+    assert html_text.main_text(page) == "It is the story of the day and it was told in the town."
+
+
+def test_html_unclosed_depth():
+    rows_ = "".join(f"<tr><td>a {k}<td>b" for k in range(100))
+    page = f"<head><title>T</title><body><article><table>{rows_}</table>{'<span>' * 200}<p>in</article><p>out"
+    found = html_text.blocks(page)
+    assert len(found) == 202 and [b[0] for b in found if not b[3]] == ["out"]
+    nested = "<ul><li>a<ul><li>b<li>c</ul><li class=ad>d<ul><li>e</ul><li>f</ul>g"
+    assert [b[0] for b in html_text.blocks(nested)] == ["a", "b", "c", "f", "g"]
+    assert [b[0] for b in html_text.blocks("<table><tr><td class=ad>x<table><tr><td>y</table>z<td>kept<tr><td>too</table>")] == ["kept", "too"]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
