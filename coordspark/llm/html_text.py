@@ -4,9 +4,10 @@ A page is cut into blocks at block-level tags. Blocks inside elements that never
 article (navigation, forms, scripts, comments of readers and the like, by tag, role, class
 or id) are out. First pass: link density, length and stop-word density call the others
 good, bad or ambiguous. Second pass: headings and short or ambiguous blocks take the label
-of their nearest decided neighbours. End tags are matched at any depth, and those that
-HTML lets pages leave out (of paragraphs, list items, rows, cells and the head) are implied. An ``article`` or ``main`` element bounds the search
-where a page has one, and its paragraphs without links are decided good there.
+of their nearest decided neighbours. An ``article`` or ``main`` element decides no block by
+itself, it breaks ties: few stop words inside one are ambiguous rather than bad, and where
+neighbours disagree or none is decided, a block inside one is good. End tags are matched at any depth, and those that
+HTML lets pages leave out (of paragraphs, list items, rows, cells and the head) are implied.
 
 Null and empty pages give the empty text. Rows stand alone; other columns pass unread.
 """
@@ -36,13 +37,14 @@ FEW_CHARS, MANY_CHARS, LOW_STOPS, HIGH_STOPS, MOST_LINKS = 70, 200, 0.1, 0.2, 0.
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 
 
 def _surrounds(tag: str, attrs: str) -> bool:
     if tag in SKIPPED_TAGS:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
@@ -134,23 +136,18 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    bounded = any(b[3] for b in found)
-    if bounded:
-        found = [b for b in found if b[3]]
     labels: list[str] = []
-    for text, linked, heading, _ in found:
-        words = text.lower().split()
-        stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
+    for text, linked, heading, inside in found:
+        words = _WORD.findall(text.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if 100 * linked > 100 * MOST_LINKS * len(text):
             labels.append("bad")
-        elif bounded and not linked:
-            labels.append("good")
         elif heading or len(text) < FEW_CHARS:
             labels.append("short")
         elif stops >= HIGH_STOPS or (len(text) > MANY_CHARS and stops >= LOW_STOPS):
             labels.append("good")
         else:
-            labels.append("near" if stops >= LOW_STOPS else "bad")
+            labels.append("near" if stops >= LOW_STOPS or inside else "bad")
     before, last = [], None
     for label in labels:
         before.append(last)
@@ -161,11 +158,13 @@ def main_text(page: str | None) -> str:
         last = label if label in ("good", "bad") else last
     after.reverse()
     keep = []
-    for k, (text, _, heading, _) in enumerate(found):
-        sides = (before[k], after[k])
-        label = labels[k]
-        # a heading belongs to what follows; an ambiguous block needs one good side, a short one both known sides
-        good = label == "good" or (label == "short" and (after[k] == "good" if heading else "good" in sides and "bad" not in sides)) or (label == "near" and "good" in sides)
+    for k, (text, _, heading, inside) in enumerate(found):
+        label, sides = labels[k], {before[k], after[k]} - {None}
+        if heading and label == "short":
+            sides = {after[k]} - {None}  # a heading belongs to what follows
+        tie = inside and len(sides) != 1
+        # an ambiguous block needs one good side, a short one no bad side either
+        good = label == "good" or (label == "short" and (sides == {"good"} or tie)) or (label == "near" and ("good" in sides or tie))
         if good:
             keep.append(text)
     return "\n".join(keep)

@@ -97,6 +97,28 @@ def test_html_unclosed_items(item):
     assert html_text.main_text(page) == "It is the story of the day and it was told in the town."
 
 
+STORY = "It is the story of the day and it was told in the town by the people who have seen it."
+
+
+@pytest.mark.parametrize("page", [
+    f"<div><h2>Head</h2><p>{STORY}<p>short line<p>{STORY}</div><p>lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt",
+    f"<article class=teaser><h3><a href=x>Other</a></h3><p><a href=y>read this</a></article><div><h2>Head</h2><p>{STORY}<p>short line<p>{STORY}</div><article><a href=z>more</a></article>",
+    f"<div><h2>Head</h2><p>{STORY}<p>short line<p>{STORY}</div><article class=comment><p>{STORY}</article>",
+    f"<article><h2>Head</h2><p>{STORY}<p>short line<p>{STORY}<p><a href=x>{STORY}</a></article><p>{'far ' * 30}",
+    f"<article><h2>Head</h2><p>{STORY.replace('day', '<a href=x>day</a>')}<p>short line<p>{STORY}</article>",
+])
+def test_html_block_rules(page):
+    assert html_text.main_text(f"<body>{page}</body>") == f"Head\n{STORY}\nshort line\n{STORY}"
+
+
+def test_html_article_breaks_ties():
+    names = "Anna Berg, Carl Dorn, Emil Falk, Gerd Horn, Ida Jung, Karl Lang, Max Nord, Olaf Post"
+    for tag, kept in (("article", True), ("div", False)):
+        assert (names in html_text.main_text(f"<{tag}><p>{STORY}<p>{names}</{tag}>")) == kept
+    assert html_text.main_text(f"<article><p>{names}</article>") == names
+    assert html_text.main_text(f"<nav>x</nav><div><a href=a>a</a></div><article><p>{names}</article><div><a href=b>b</a></div>") == ""
+
+
 def test_html_unclosed_depth():
     rows_ = "".join(f"<tr><td>a {k}<td>b" for k in range(100))
     page = f"<head><title>T</title><body><article><table>{rows_}</table>{'<span>' * 200}<p>in</article><p>out"
