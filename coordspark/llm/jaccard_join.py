@@ -13,8 +13,14 @@ comparison each. Then the blocks that still hold different components meet: a pa
 blocks is skipped when the least positions in it leave too few tokens for the threshold,
 a pair of entries by its own positions and sizes, and the rest is verified exactly.
 
+That gives the components; every link lies inside one. A component's classes are counted in
+cells, two blocks of classes of fitting sizes each. A cell's common core, the tokens of most
+of its classes, leads: overlap with it is taken once, and each class's answers are derived
+from it by what the classes lack of the core and have besides. All pairs of fitting sizes
+are answered exactly, none is made a row.
+
 Null and empty texts have no set and link with nothing. Documents without id take no part
-and get no component. Rows of one id are one document. Empty tables give no row.
+and get no component nor count. Rows of one id are one document. Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -167,6 +173,114 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+#: About as many tokens are in a block of a component's classes; a cell meets two blocks.
+CELL_TOKENS = 1 << 19
+CELL = ("component", "lo", "up", "i", "j")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each left set, the sizes of its intersections with all right sets."""
+    m = len(right)
+    if m <= 3:
+        for x in left:
+            yield np.array([len(np.intersect1d(x, y, assume_unique=True)) for y in right])
+        return
+    known, at = np.unique(np.concatenate(right), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    having, df = np.repeat(np.arange(m), [len(y) for y in right])[order], np.bincount(at)
+    core = 2 * df > m
+    lacking = [np.setdiff1d(np.arange(m), having[e - n : e], assume_unique=True) for e, n in zip(np.cumsum(df)[core], df[core], strict=True)]
+    rare = having[np.repeat(~core, df)]
+    flat, size = np.concatenate([rare, *lacking]), np.where(core, m - df, df)  # who has another token, then who lacks a core token
+    first = np.empty(len(df), np.int64)
+    first[~core] = np.cumsum(size[~core]) - size[~core]
+    first[core] = len(rare) + np.cumsum(size[core]) - size[core]
+
+    def listed(p: np.ndarray) -> np.ndarray:
+        n = size[p]
+        return np.bincount(flat[np.repeat(first[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=m)
+
+    for x in left:
+        p = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        p = p[known[p] == x]
+        common = core[p]
+        yield common.sum() + listed(p[~common]) - listed(p[common])
+
+
+def _cell(rows: dict[bytes, tuple]) -> list[tuple[bytes, int, bytes | None]]:
+    """Digest and linked documents of a cell's classes, then a row (digest, 0, other) for each link to a marked class."""
+    keys = list(rows)
+    a = [k for k in keys if rows[k][0]]
+    b = [k for k in keys if not rows[k][0]]
+    own = all(rows[k][4] for k in keys)  # a block with itself
+    if own:
+        b = a
+    if not a or not b:
+        return []
+    n, w, marked = (np.array([rows[k][f] for k in b]) for f in (1, 2, 3))
+    total, sums, pairs = np.zeros(len(b), np.int64), {}, []
+    for k, (x, i) in enumerate(zip(a, overlaps([rows[x][5] for x in a], [rows[y][5] for y in b]), strict=True)):
+        linked = 100 * i >= 75 * (rows[x][1] + n - i)
+        if own:
+            linked[k] = False
+        else:
+            total += linked * rows[x][2]
+        sums[x] = int(w[linked].sum())
+        pairs += [(x, 0, b[j]) for j in np.flatnonzero(linked & marked)]
+        if rows[x][3] and not own:
+            pairs += [(b[j], 0, x) for j in np.flatnonzero(linked)]
+    if not own:
+        sums |= {y: int(t) for y, t in zip(b, total, strict=True)}
+    return [(k, v, None) for k, v in sums.items() if v] + pairs
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, rows = None, {}
+
+    def found() -> Iterator[pa.RecordBatch]:
+        out = _cell(rows) if len(rows) > 1 else []
+        for k in range(0, len(out), 1 << 16):
+            d, n, o = zip(*out[k : k + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(o, pa.binary())], ["digest", "links", "other"])
+
+    for batch in batches:
+        tokens = batch.column("tokens")
+        values, at = tokens.values.to_numpy(zero_copy_only=False).view(tx.U), tokens.offsets.to_numpy()
+        *cell, digest, left, weight, marked = (batch.column(c).to_pylist() for c in (*CELL, "digest", "left", "w", "marked"))
+        for k, here in enumerate(zip(*cell, strict=True)):
+            if here != key:
+                yield from found()
+                key, rows = here, {}
+            mine = values[at[k] : at[k + 1]]
+            # an id of several texts may bring other sets; repeated rows count once
+            if digest[k] not in rows and hashlib.blake2b(mine.tobytes(), digest_size=16).digest() == digest[k]:
+                rows[digest[k]] = (left[k], len(mine), weight[k], marked[k], not here[2] and here[3] == here[4], mine.copy())
+    yield from found()
+
+
+def link_counts(classes: DataFrame, docs: DataFrame, block: int = CELL_TOKENS) -> DataFrame:
+    """Links of classes (digest, id, n, w, marked, component): digest, links in documents of weight w, other where a link to a marked class is named."""
+    sized = classes.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
+    units = sized.groupBy("component", "s").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / block).cast("int").alias("nb"))
+    units = written(units, "jaccard-units")
+    side = lambda name, by: units.select("component", (F.col("s") + by).alias("s"), F.col("nb").alias(name))
+    units_ = units.join(side("up_nb", -1), ["component", "s"], "left").join(side("down_nb", 1), ["component", "s"], "left")
+    placed = sized.join(units_, ["component", "s"]).withColumn("k", F.pmod(F.xxhash64("digest"), F.col("nb").cast("long")).cast("int"))
+    none = "cast(array() as array<struct<lo:int,up:int,i:int,j:int,left:boolean>>)"
+    cells = F.expr(f"""concat(
+        if(m > 1, transform(sequence(0, nb - 1), x -> named_struct('lo', s, 'up', 0, 'i', least(k, x), 'j', greatest(k, x), 'left', k <= x)), {none}),
+        if(up_nb > 0, transform(sequence(0, up_nb - 1), x -> named_struct('lo', s, 'up', 1, 'i', k, 'j', x, 'left', true)), {none}),
+        if(down_nb > 0, transform(sequence(0, down_nb - 1), x -> named_struct('lo', s - 1, 'up', 1, 'i', x, 'j', k, 'left', false)), {none}))""")
+    placed = written(placed.select("id", "digest", "component", "w", "marked", cells.alias("cells")).where("size(cells) > 0"), "jaccard-placed")
+    sets = _named(placed.select(F.col("id").alias("a"), F.col("id").alias("b")), docs).withColumnRenamed("shingles", "tokens")
+    both = placed.join(sets, "id").select("component", "digest", "w", "marked", "tokens", F.explode("cells").alias("c"))
+    both = both.select("component", "c.lo", "c.up", "c.i", "c.j", "digest", "c.left", "w", "marked", "tokens")
+    found = both.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_cells, "digest binary, links long, other binary")
+    found = written(found, "jaccard-counts")
+    discard(units, placed)
+    return found
+
+
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return entries.withColumn("comp", F.col("id"))
@@ -211,19 +325,47 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def join(docs: DataFrame, with_links: bool = True) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, and unless left out n_links, how many other documents it is linked with."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     light = docs.select("doc_id", F.arrow_udf(_digests, "n long, digest binary")("text").alias("s")).select("doc_id", "s.n", "s.digest")
     light = written(light, "jaccard-digests")
     has = light.where("digest is not null and doc_id is not null")
-    classes = written(has.groupBy("digest").agg(F.min("doc_id").alias("id")), "jaccard-classes")
+    classes = written(has.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("size")), "jaccard-classes")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     # an id given to several texts joins their classes
     same = has.join(classes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    twice = has.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("a"))
+    ids = has.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    twice = ids.where("lo <> hi").select(F.col("doc_id").alias("a"))
     edges = links(texts, classes.select("id").distinct()).unionAll(same.join(twice, "a", "left_semi"))
     labels = components(edges).withColumnRenamed("node", "id")
-    named = has.join(classes, "digest").join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # an id that leads several classes joins them in no edge: its label is its own
+    known = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")]
     rest = light.where("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionAll(rest)
+    if not with_links:
+        return has.join(known.drop("size"), "digest").select(*columns).unionAll(rest)
+    # ids of one text are counted by class, ids of several by name
+    several = written(has.join(twice.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select("doc_id", "digest").distinct(), "jaccard-several")
+    single = ids.where("lo = hi").groupBy(F.col("lo").alias("digest")).agg(F.count("*").alias("w"))
+    known = known.join(single, "digest", "left").join(several.select("digest", F.lit(True).alias("marked")).distinct(), "digest", "left")
+    known = written(known.select("digest", "id", F.col("size").alias("n"), F.coalesce("w", F.lit(0)).alias("w"), F.coalesce("marked", F.lit(False)).alias("marked"), "component"), "jaccard-known")
+    counts = link_counts(known, texts)
+    by_class = counts.where("other is null").groupBy("digest").agg(F.sum("links").alias("links"))
+    known = known.drop("n").join(by_class, "digest", "left").withColumn("links", F.col("w") - 1 + F.coalesce("links", F.lit(0)))
+    out = has.join(known, "digest")
+    if not several.isEmpty():
+        near = counts.where("other is not null").select("digest", "other").unionAll(several.select("digest", F.col("digest").alias("other"))).distinct()
+        to = several.select(F.col("doc_id").alias("e"), F.col("digest").alias("other"))
+        # by class the ids of several texts among its neighbours; by id of several texts its neighbours of either kind
+        extra = near.join(to, "other").groupBy("digest").agg(F.count_distinct("e").alias("extra"))
+        reached = near.join(to, "other").select("e", "digest").distinct()
+        ones = reached.join(known.select("digest", "w"), "digest").groupBy("e").agg(F.sum("w").alias("ones"))
+        more = reached.join(several, "digest").where("doc_id <> e").groupBy("e").agg(F.count_distinct("doc_id").alias("more"))
+        whole = ones.join(more, "e", "left").select(F.col("e").alias("doc_id"), (F.col("ones") + F.coalesce("more", F.lit(0))).alias("whole"))
+        out = out.join(extra, "digest", "left").join(whole, "doc_id", "left").withColumn("links", F.coalesce("whole", F.col("links") + F.coalesce("extra", F.lit(0))))
+    out = out.select(*columns, F.col("links").alias("n_links"))
+    # rows without words of an id that has others are the same document
+    also = out.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n_links").alias("other_links"))
+    zero = F.when(F.col("doc_id").isNotNull(), F.coalesce("other_links", F.lit(0))).cast("long")
+    return out.unionAll(rest.join(also, "doc_id", "left").select("doc_id", "n_shingles", "component_id", zero.alias("n_links")))

@@ -26,7 +26,7 @@ def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of smallest id; rows without an id stay."""
-    first = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard_join.join(docs, with_links=False).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where("doc_id is null")).select(*COLUMNS)
 

@@ -58,6 +58,61 @@ def test_jaccard_join_chains_and_edges(spark):
     assert jaccard_join.join(df.select(F.lit(None).cast("long").alias("doc_id"), "text")).where("component_id is not null").count() == 0
 
 
+def brute_links(rows_):
+    """Other documents linked with each id; an id's texts are one document."""
+    sets = [(i, s) for i, t in rows_ if i is not None and (s := brute_set(t))]
+    near = {i: set() for i, _ in rows_ if i is not None}
+    for (i, s), (j, t) in itertools.combinations(sets, 2):
+        k = len(s & t)
+        if i != j and 100 * k >= 75 * (len(s) + len(t) - k):
+            near[i].add(j)
+            near[j].add(i)
+    return {i: len(n) for i, n in near.items()}
+
+
+def brute_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+
+
+def test_jaccard_join_links(spark):
+    got = {r.doc_id: r.n_links for r in QUERIES["op1_jaccard_join"](spark, SMALL).collect()}
+    assert got == brute_links([(r["doc_id"], r["text"]) for r in rows("documents")])
+
+
+def near_copies():
+    words = [f"w{k}" for k in range(60)]
+    data = [(k, " ".join(words[k : k + 40])) for k in range(0, 20, 2)]
+    data += [(100 + k, " ".join([*words[:50], f"x{k}"])) for k in range(30)]  # different near copies, each linked with all
+    data += [(200 + k, " ".join([*words[:44], *(f"y{k}{j}" for j in range(1 + k))])) for k in range(20)]
+    data += [(100, data[12][1]), (101, "a b c d e f g"), (300, "a b c d e f g"), (0, " ".join(words[20:])), (300, None), (301, ""), (None, words[3])]
+    return [*data, *data[15:18], *((400 + k, data[11][1]) for k in range(3))]
+
+
+def test_jaccard_join_links_of_groups(spark):
+    data = near_copies()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = jaccard_join.join(df).collect()
+    assert len(out) == len(data) and {r.doc_id: r.n_links for r in out if r.doc_id is not None} == brute_links(data)
+    assert [r.n_links for r in out if r.doc_id is None] == [None]
+    assert jaccard_join.join(df.where("false")).count() == 0
+
+
+def test_jaccard_link_counts_in_blocks(spark):
+    data = list({t: (i, t) for i, t in near_copies() if i is not None and brute_set(t)}.values())
+    data = [(k, t) for k, (_, t) in enumerate(data)]
+    df = spark.createDataFrame(data, "id long, text string")
+    classes = df.select(F.arrow_udf(jaccard_join._digests, "n long, digest binary")("text").alias("s"), "id").select("s.digest", "id", "s.n", F.lit(1).cast("long").alias("w"), (F.col("id") % 3 == 0).alias("marked"), F.lit(0).cast("long").alias("component"))
+    for block in (100, 1 << 19):
+        found = jaccard_join.link_counts(classes, df, block).join(classes.select("digest", "id"), "digest").collect()
+        links = collections.Counter()
+        for r in found:
+            links[r.id] += r.links
+        want = brute_links(data)
+        assert {k: links[k] for k in want} == want
+        assert sum(r.other is not None for r in found) == sum(want[k] for k in want if k % 3 == 0)
+
+
 def test_mixing(spark):
     docs = [(i, "w " * 50, "big" if i < 600 else f"s{i % 4}") for i in range(1000)] + [(5000, None, "s0"), (5001, "", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
