@@ -4,8 +4,9 @@ Texts are cut into overlapping chunks that cover every byte. Learned filters of
 bytes slide over each chunk, each filter's largest response is the chunk's feature,
 and the largest and the mean of a document's chunk features give one probability.
 
-Training takes at most ``most_rows`` labelled rows (those of smallest hash) and at
-most ``CHUNKS`` evenly spread chunks of each; that bounds what the driver receives.
+Training takes whole texts: at most ``most_rows`` labelled rows (those of smallest hash),
+and fewer where their texts would pass ``most_bytes``; that bounds what the driver receives.
+The first row is always taken, and the one that would pass the bound ends the sample.
 Scoring reads whole texts. Null and empty texts have no chunk and get the score of
 zero features; rows whose labels disagree or are null aren't learned from. Without
 any label the score is 0.5 everywhere.
@@ -24,8 +25,8 @@ from coordspark.llm import text as tx
 
 WIDTH, FILTERS = 4, 16
 CHUNK, STEP = 256, 224
-#: Bounds of the training sample: rows, and chunks of a row.
-MOST_ROWS, CHUNKS = 4000, 12
+#: Bounds of the training sample: rows, and bytes of their texts.
+MOST_ROWS, MOST_BYTES = 4000, 1 << 25
 
 
 @dataclass
@@ -90,6 +91,7 @@ def train(rows: list[tuple[list[bytes], int]], epochs: int = 14, rate: float = 0
     rows = [r for r in rows if r[0]]
     if not rows:
         return Network(net.table, net.bias, np.zeros(2 * FILTERS), 0.0)
+    room = 512
     size = [len(r[0]) for r in rows]
     first = np.concatenate([[0], np.cumsum(size)])
     data = np.zeros((first[-1], CHUNK + WIDTH - 1), np.uint8)
@@ -110,11 +112,14 @@ def train(rows: list[tuple[list[bytes], int]], epochs: int = 14, rate: float = 0
             begin = np.concatenate([[0], np.cumsum([size[d] for d in docs])[:-1]])
             x = data[chunks]
             pair = net.pairs()
-            code = x[:, :-1].astype(np.uint16) * np.uint16(256) + x[:, 1:]
-            seen = pair[0][code[:, :CHUNK]] + pair[1][code[:, 2 : CHUNK + 2]]
-            seen[~inside[chunks]] = -np.inf
-            where = seen.argmax(1)
-            pre = np.take_along_axis(seen, where[:, None, :], 1)[:, 0] + net.bias
+            where, pre = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS))
+            for b in range(0, len(x), room):
+                part = x[b : b + room]
+                code = part[:, :-1].astype(np.uint16) * np.uint16(256) + part[:, 1:]
+                seen = pair[0][code[:, :CHUNK]] + pair[1][code[:, 2 : CHUNK + 2]]
+                seen[~inside[chunks[b : b + room]]] = -np.inf
+                where[b : b + room] = seen.argmax(1)
+                pre[b : b + room] = np.take_along_axis(seen, where[b : b + room][:, None, :], 1)[:, 0] + net.bias
             act = np.maximum(pre, 0)
             count = np.diff(np.append(begin, len(chunks)))
             top, mean = np.maximum.reduceat(act, begin), np.add.reduceat(act, begin) / count[:, None]
@@ -141,26 +146,32 @@ def train(rows: list[tuple[list[bytes], int]], epochs: int = 14, rate: float = 0
     return Network(params[0], params[1], params[2], float(params[3][0]))
 
 
-def training_chunks(texts: pa.Array) -> pa.Array:
-    """At most CHUNKS chunks of each text, evenly spread from its first to its last."""
-    buf, offsets = tx.buffers(texts)
-    starts, ends, text = chunk_spans(offsets)
-    raw, out = buf.tobytes(), []
-    at = np.searchsorted(text, np.arange(len(offsets)))
-    for k in range(len(offsets) - 1):
-        pick = np.unique(np.linspace(at[k], at[k + 1] - 1, min(CHUNKS, at[k + 1] - at[k])).round().astype(int)) if at[k + 1] > at[k] else []
-        out.append([raw[starts[i] : ends[i]] for i in pick])
-    return pa.array(out, pa.list_(pa.binary()))
+def training_chunks(text: bytes) -> list[bytes]:
+    """All chunks of a text."""
+    starts, ends, _ = chunk_spans(np.array([0, len(text)]))
+    return [text[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> Network:
-    """Learn from at most ``most_rows`` labelled documents, those whose id has the smallest hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> list[tuple[bytes, int]]:
+    """Whole texts and labels of the labelled documents whose id has the smallest hash, within both bounds."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
     sample = known.select("doc_id", F.col("lo").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_rows rows of 12 bytes
     # a repeated id may match many rows: the first few by hash again
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most_rows).select(F.arrow_udf(training_chunks, "array<binary>")("text").alias("chunks"), "y").collect()
-    return train([([bytes(c) for c in r.chunks], r.y) for r in rows])
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    rows = found.withColumn("h", order[2]).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    sizes = rows.select("doc_id", "h", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most_rows).toArrow()
+    if not sizes.num_rows:
+        return []
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= most_bytes
+    fits[0] = True
+    taken = int(fits.sum())
+    return [((r.text or "").encode(), r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(taken).select("text", "y").collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Network:
+    """Learn from all chunks of the sampled documents."""
+    return train([(training_chunks(t), y) for t, y in training_rows(docs, labels, label, most_rows, most_bytes)])
 
 
 def score(text: Column, net: Network) -> Column:

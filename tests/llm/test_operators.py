@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coordspark.llm import chat, exact_topk, html_text, jaccard_join, licenses, mixing, packing, quality_rules, warc
+from coordspark.llm import chat, exact_topk, html_text, jaccard_join, licenses, mixing, packing, quality_classifier, quality_rules, warc
 from coordspark.llm.queries import QUERIES, byte_bpe
 
 SMALL = "/root/testdata/sf0.001"
@@ -244,6 +244,19 @@ def test_warc(spark, tmp_path):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_classifier_trains_on_whole_texts(spark, monkeypatch):
+    texts = {k: "".join(f"{k} line {j} " for j in range(40 * k * k)) for k in range(1, 9)} | {9: None, 10: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda rows: seen.append(rows))
+    quality_classifier.fit(df, labels)
+    whole = collections.Counter("".join([c[0].decode(), *(x[32:].decode() for x in c[1:])] if (c := r[0]) else []) for r in seen[0])
+    assert whole == collections.Counter(t or "" for t in texts.values())
+    bound = quality_classifier.training_rows(df, labels, most_bytes=20000)
+    assert 0 < len(bound) < 10 and (len(bound) == 1 or sum(len(t) for t, _ in bound) <= 20000) and {t.decode() for t, _ in bound} <= set(whole)
+
+
 def test_quality_rules(spark):
     text = "One two three four five six seven eight nine ten.\n| | | menu | x |\nOne two three four five six seven eight nine ten."
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
