@@ -1,9 +1,11 @@
 """License scans by canonical digests.
 
-A text is made canonical (lower case, no copyright lines, equivalent spellings as one,
-everything but letters and digits as one space) and its SHA-256 is looked up among the
+A text is made canonical (lower case, no copyright lines nor title line, whatever comment
+marks are before them, equivalent spellings as one, everything but letters and digits as
+one space) and its SHA-256 is looked up among the
 digests of known licences, made by the same rule. Whole texts are joined by hash with the
-known digests, a table of fixed size. Notices are often one line of a longer text, so each
+known digests, a table of one row per known text: ``KNOWN``, the files in ``license_texts``,
+or a table of the caller's. The SQL knows ``KNOWN`` alone, by ``RULES``. Notices are often one line of a longer text, so each
 line is also canonicalised as a text of its own, without any shuffle.
 
 Null and empty texts have no licence (null) and no lines (empty list). Rows stand alone.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +43,17 @@ RULES = (
     (r"\bnon infringement", "noninfringement"),
     (r"\bper cent\b", "percent"),
 )
+#: The scan's rules: a line that starts as a sentence about copyright holders or notices isn't a copyright line, however a text is wrapped.
+SCAN_RULES = (
+    (r"(?m)^[^a-z0-9\n]*?(copyright(?![a-z]|[ \t]+(holder|owner|notice|licen[cs]e|law|interest|statement|disclaimer|and|or|in|to|on|is)s?\b)|\(c\)|©)[^\n]*$", " "),
+    (r"\A[^a-z0-9]*(the[ \t]+)?(mit|isc|expat|x11|unlicense|bsd[ \t]+[234]-clause|[234]-clause[ \t]+bsd|(new|modified|revised|simplified)[ \t]+bsd)([ \t]+licen[cs]e)?([ \t]*\([^)\n]*\))?[^a-z0-9\n]*\n", " "),
+    *RULES[1:],
+)
 
 
-def canonical(text: str) -> str:
+def canonical(text: str, rules: tuple = RULES) -> str:
     text = text.lower()
-    for pattern, by in RULES:
+    for pattern, by in rules:
         text = re.sub(pattern, by, text)
     return text.strip()
 
@@ -54,25 +63,38 @@ def digests() -> dict[str, str]:
     return {hashlib.sha256(canonical(text).encode()).hexdigest(): name for name, text in KNOWN}
 
 
+def known_digests() -> dict[str, str]:
+    """The scan's digests of KNOWN and of the full texts, each file named by its licence."""
+    files = sorted(Path(__file__).with_name("license_texts").glob("*.txt"))
+    texts = [*KNOWN, *((f.stem, f.read_text()) for f in files)]
+    return {hashlib.sha256(canonical(text, SCAN_RULES).encode()).hexdigest(): name for name, text in texts}
+
+
 def canonical_column(text: Column) -> Column:
     out = F.lower(text)
-    for pattern, by in RULES:
+    for pattern, by in SCAN_RULES:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """The documents with ``license``, of the whole text, and ``line_licenses``, distinct and sorted, of its lines."""
+def table_digests(known: DataFrame) -> dict[str, str]:
+    """The digests of a table license, text; the driver gets a digest of each. Of two names of one text the first in order counts."""
+    keyed = known.where("license is not null").select("license", canonical_column(F.col("text")).alias("c")).where("c <> ''")
+    return {r.d: r.name for r in keyed.groupBy(F.sha2("c", 256).alias("d")).agg(F.min("license").alias("name")).collect()}
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """By the known texts, a table license, text or those of this package: the documents with ``license``, of the whole text, and ``line_licenses``, distinct and sorted, of its lines."""
     spark = docs.sparkSession
     docs = docs.drop("license", "line_licenses")
-    known = digests()
+    known = known_digests() if known is None else table_digests(known)
     table = spark.createDataFrame(sorted(known.items()), "_digest string, license string")
     keyed = docs.withColumn("_digest", F.sha2(canonical_column(F.col("text")), 256))
-    names = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    names = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair)) if known else F.create_map().cast("map<string,string>")
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.sha2(canonical_column(x), 256))
-    found = F.transform(F.filter(lines, lambda x: x.isin(*sorted(known))), lambda x: F.element_at(names, x))
+    found = F.transform(F.filter(lines, lambda x: x.isin(*sorted(known)) if known else F.lit(False)), lambda x: F.element_at(names, x))
     keyed = keyed.withColumn("line_licenses", F.array_sort(F.array_distinct(found)))
-    return keyed.join(F.broadcast(table), "_digest", "left").select(*docs.columns, "license", "line_licenses")  # len(KNOWN) rows
+    return keyed.join(F.broadcast(table), "_digest", "left").select(*docs.columns, "license", "line_licenses")  # a row for each known text
 
 
 def oracle_sql() -> str:

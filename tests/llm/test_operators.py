@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import math
 import re
+import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -139,6 +141,29 @@ def test_licenses(spark):
     assert got == {1: ("MIT", ["MIT"]), 2: (None, ["CC-BY-NC-4.0"]), 3: (None, []), 4: (None, [])}
 
 
+def test_licenses_as_published(spark):
+    files = {f.stem: f.read_text() for f in Path(licenses.__file__).with_name("license_texts").glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(files)
+    files |= {name: text for name, text in licenses.KNOWN[-2:]}
+    want, data = [], []
+    for name, text in files.items():
+        body = textwrap.fill(text, 60) if name in ("MIT", "ISC") else text
+        for head in ("", "Copyright (c) 2020 A B\n\n", "Copyright The X Authors\n") + (("MIT License\n\nCopyright (c) 2020 A B\n\n", "The MIT License (MIT)\n\n© A\n") if name == "MIT" else ()):
+            whole = head + body
+            data += [whole, "\n".join("# " + x for x in whole.split("\n")), "/*\n" + "\n".join(" * " + x for x in whole.split("\n")) + "\n */"]
+            want += [name] * 3
+    mit = files["MIT"]
+    data += [textwrap.fill(mit, w) for w in range(40, 90, 7)] + [mit + " No more.", "MIT License\n", "MIT License"]
+    want += ["MIT"] * 8 + [None] * 3
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(data))] == want
+    own = spark.createDataFrame([("X", "My own\nterms."), ("Y", None)], "license string, text string")
+    ask = spark.createDataFrame([(1, "# MY OWN terms"), (2, mit), (3, "a\nmy own terms")], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(ask, own).collect()} == {1: ("X", ["X"]), 2: (None, []), 3: (None, ["X"])}
+    assert licenses.scan(ask, own.where("false")).where("license is not null or size(line_licenses) > 0").count() == 0
+
+
 def test_html():
     page = "<head><title>T</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one <b>two\n three<br>four<p>five</p></article><footer>f</footer>"
     assert html_text.main_text(page) == "A & B\none two three four\nfive"
