@@ -157,16 +157,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
     sample = known.select("doc_id", F.col("lo").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_rows rows of 12 bytes
-    # a repeated id may match many rows: the first few by hash again
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    rows = found.withColumn("h", order[2]).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    sizes = rows.select("doc_id", "h", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most_rows).toArrow()
+    # of a repeated id the text of smallest hash; hashes and sizes are aggregated, not texts
+    rows = found.select("doc_id", "y", "text", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("m")).select("doc_id", "m.h", "m.n")
+    sizes = one.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     if not sizes.num_rows:
         return []
     fits = np.cumsum(sizes.column("n").to_numpy()) <= most_bytes
     fits[0] = True
-    taken = int(fits.sum())
-    return [((r.text or "").encode(), r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(taken).select("text", "y").collect()]
+    taken = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(int(fits.sum()))
+    texts = rows.join(F.broadcast(taken), ["doc_id", "h", "n"]).dropDuplicates(["doc_id"])  # most_rows rows of 24 bytes
+    return [((r.text or "").encode(), r.y) for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Network:

@@ -282,6 +282,14 @@ def test_classifier_trains_on_whole_texts(spark, monkeypatch):
     assert 0 < len(bound) < 10 and (len(bound) == 1 or sum(len(t) for t, _ in bound) <= 20000) and {t.decode() for t, _ in bound} <= set(whole)
 
 
+def test_classifier_takes_a_repeated_id_once(spark):
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(20)] + [(3, f"other {j % 5}") for j in range(300)] + [(4, None)] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    got = quality_classifier.training_rows(df, labels, most_rows=20)
+    assert len(got) == 20 and sum(y for _, y in got) == 10
+    assert {f"text {k}".encode() for k in range(20) if k not in (3, 4)} <= {t for t, _ in got}
+
+
 def test_quality_rules(spark):
     text = "One two three four five six seven eight nine ten.\n| | | menu | x |\nOne two three four five six seven eight nine ten."
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
