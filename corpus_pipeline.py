@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_classifier", classified), ("quality_rules", cleaned), ("jaccard_join", distinct), ("mixing", mixed), ("packing", packed)]
-#: Learned scores can't be stated in SQL; the tests hold each stage against its operator.
+#: Learned scores can't be stated in SQL; the tests see only that each stage leaves rows of these columns.
 ORACLE_SQL = None
 
 
