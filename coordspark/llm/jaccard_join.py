@@ -1,17 +1,25 @@
 """N-gram Jaccard join with skipping by set relations.
 
 A document's set is its distinct word shingles, as 64-bit hashes. Documents of equal sets
-form a class and answer alike. Tokens are ordered by how frequent they are (a table of
-2**18 hashed counts over all documents, so what is broadcast is bounded at any size; any
-order gives whole results), and a set of n is indexed by its first n - ceil(3n/4) + 1
-tokens. Index lists are split into blocks by size.
-
-Answers are derived before they are computed. Two rounds hold each entry of a block
-against one leader; entries that turn out to be linked share a component from then on,
-and no pair inside a component is looked at again: near copies, however many, cost one
-comparison each. Then the blocks that still hold different components meet: a pair of
-blocks is skipped when the least positions in it leave too few tokens for the threshold,
-a pair of entries by its own positions and sizes, and the rest is verified exactly.
+form a class and answer alike; one set stands for a class.
+
+First, sets are skipped whole. A link needs three quarters of a set's tokens in another
+class. One shuffle of 32-bit fingerprints counts for each class the tokens that other
+classes have; a class with fewer than that is done. Tokens that many classes of a task
+share travel once, so a common token costs a row a task. Fingerprints that meet by chance,
+and copies in several tasks, only let a class pass. What remains is written as a table of
+sets, counted again without either error, and all further steps read that table only.
+
+Then index lists are skipped by position. Tokens are ordered by how many of the remaining
+classes have them; a set of n is indexed by its first n - ceil(3n/4) + 1 tokens, of which
+those no other class has need no entry. Lists are split into blocks by size.
+
+Answers are derived before they are computed. In each of ``TURNS`` rounds a class meets the
+leaders of at most ``MEET`` of its lists, in blocks whose bounds move from round to round;
+classes found linked share a component from then on, and no pair inside a component is
+looked at again. Then the blocks that still hold different components meet: a pair of blocks
+is skipped when the least positions in it leave too few tokens for the threshold, a pair of
+entries by its own positions and sizes, and the rest is verified exactly.
 
 That gives the components; every link lies inside one. A component's classes are counted in
 cells, two blocks of classes of fitting sizes each. A cell's common core, the tokens of most
@@ -20,7 +28,9 @@ from it by what the classes lack of the core and have besides. All pairs of fitt
 are answered exactly, none is made a row.
 
 Null and empty texts have no set and link with nothing. Documents without id take no part
-and get no component nor count. Rows of one id are one document. Empty tables give no row.
+and get no component nor count. Rows of one id are one document. A text's length is bounded
+by what a row can hold; its set is one row. Other columns are ignored, whatever their names.
+Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -38,12 +48,15 @@ from coordspark.llm import text as tx
 from coordspark.llm.components import components
 from coordspark.llm.tables import discard, written
 
-BUCKETS = 1 << 18
-#: Bits of the filter of ids that have candidates; 8 MB to each task at any size.
+#: Bits of the filter of ids whose sets are read again; 8 MB to each task at any size.
 BITS = 1 << 26
 SHINGLE = 5
 #: The most leaders that are called heavy; each has over 1/HEAVY of all pairs.
 HEAVY = 1000
+#: Rounds of meeting leaders, and the lists of which a class meets the leader in each.
+TURNS, MEET = 3, 3
+#: Tokens a task gathers before it sends their fingerprints, and bytes of text to a partition of them.
+GATHER, PART_BYTES = 1 << 20, 32 << 20
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -66,84 +79,142 @@ def _all_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         yield from shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _digests(texts: pa.Array) -> pa.Array:
-    n, digest = [], []
-    for s in _all_sets(texts):
-        n.append(len(s))
-        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["n", "digest"])
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for tokens in _all_sets(batch.column(0)):
-            total += np.bincount((tokens % tx.U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+def _key(digest: bytes) -> int:
+    """A class's number in counts; never 0, which stands for many classes."""
+    return int.from_bytes(digest[:8], "little") | 1
 
 
-def _rows(ids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+def _digests(texts: pa.Array) -> pa.Array:
+    n, digest, key = [], [], []
+    for s in _all_sets(texts):
+        n.append(len(s))
+        digest.append(_digest(s) if len(s) else None)
+        key.append(_key(digest[-1]) if len(s) else 0)
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(np.array(key, tx.U).view(np.int64))], ["n", "digest", "key"])
+
+
+FINGERPRINTS = "part int, tokens binary, keys binary, lens binary"
+
+
+def _sent(sets: dict[int, np.ndarray], parts: int) -> pa.RecordBatch:
+    """The fingerprints of some classes' tokens by partition; what the classes share among themselves is counted here."""
+    keys = np.fromiter(sets, tx.U, len(sets))
+    sizes = np.array([len(s) for s in sets.values()])
+    tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    ranked = tokens[order]
+    first = np.append(True, ranked[1:] != ranked[:-1])
+    count = np.diff(np.append(np.flatnonzero(first), len(ranked)))
+    many = np.empty(len(tokens), bool)
+    many[order] = np.repeat(count > 1, count)
+    here = np.bincount(owner[many], minlength=len(keys)).astype(np.uint32)
+    common = ranked[first][count > 1]
+    rows = [(0, b"", keys[here > 0].tobytes(), here[here > 0].tobytes())]
+    # a common token is sent once, as one of many classes
+    tokens, keys_of = np.concatenate([tokens[~many], common]), np.concatenate([keys[owner[~many]], np.zeros(len(common), tx.U)])
+    part = (tokens & tx.U(0xFFFFFFFF)) % tx.U(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=tx.U))
+    prints, keys_of = (tokens[order] >> tx.U(32)).astype(np.uint32), keys_of[order]
+    for k in range(parts):
+        a, b = cuts[k], cuts[k + 1]
+        if a < b:
+            run = np.flatnonzero(np.append(True, keys_of[a + 1 : b] != keys_of[a : b - 1]))
+            rows.append((k, prints[a:b].tobytes(), keys_of[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "tokens", "keys", "lens"])
+
+
+def _counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+
+def _met(prints: list[bytes], keys: list[bytes], lens: list[bytes]) -> pa.RecordBatch:
+    """For each class, how many of its fingerprints other classes have."""
+    token = np.frombuffer(b"".join(prints), np.uint32)
+    owner = np.repeat(np.frombuffer(b"".join(keys), tx.U), np.frombuffer(b"".join(lens), np.uint32))
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(token) else np.zeros(0, bool)
+    token, owner = token[fresh], owner[fresh]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(token)))
+    shared = owner[np.repeat(size > 1, size)]
+    found, n = np.unique(shared[shared != 0], return_counts=True)
+    return _counted(found, n)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, held = None, ([], [], [])
+    for batch in batches:
+        for here, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not row[0]:  # counted where it was gathered
+                yield _counted(np.frombuffer(row[1], tx.U), np.frombuffer(row[2], np.uint32))
+                continue
+            if here != part:
+                yield _met(*held)
+                part, held = here, ([], [], [])
+            for one, more in zip(held, row, strict=True):
+                one.append(more)
+    yield _met(*held)
+
+
+def shared_tokens(docs: DataFrame) -> DataFrame:
+    """For classes of the texts, how many of their tokens other classes have too, or more: key, shared."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = {}, 0
+        for batch in batches:
+            for s in _all_sets(batch.column(0)):
+                if len(s):
+                    key = _key(_digest(s))
+                    held += 0 if key in sets else len(s)
+                    sets[key] = s
+                if held > GATHER:
+                    yield _sent(sets, parts)
+                    sets, held = {}, 0
+        if sets:
+            yield _sent(sets, parts)
+
+    blobs = docs.where("id is not null").select("text").mapInArrow(sent, FINGERPRINTS).repartition(parts, "part").sortWithinPartitions("part")
+    return blobs.mapInArrow(_meeting, "key long, n long").groupBy("key").agg(F.sum("n").alias("shared"))
+
+
+def _rows(ids: list[int], digests: list[bytes], tokens: list[np.ndarray]) -> pa.RecordBatch:
     at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
     lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, tx.U), *tokens]).view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "n", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "digest", "tokens"])
 
 
-def _listed(batch: pa.RecordBatch, pick=lambda s: s) -> Iterator[pa.RecordBatch]:
-    """Id, set size and what is picked of each set, in batches of bounded size; empty sets are left out."""
-    ids, sizes, kept, size = [], [], [], 0
+def _listed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Id, digest and set, in batches of bounded size; empty sets are left out."""
+    ids, digests, kept, size = [], [], [], 0
     for id_, s in zip(batch.column(0).to_pylist(), _all_sets(batch.column(1)), strict=True):
         if len(s):
             ids.append(id_)
-            sizes.append(len(s))
-            kept.append(pick(s))
-            size += len(kept[-1])
+            digests.append(_digest(s))
+            kept.append(s)
+            size += len(s)
             if size > 1 << 18:
-                yield _rows(ids, sizes, kept)
-                ids, sizes, kept, size = [], [], [], 0
+                yield _rows(ids, digests, kept)
+                ids, digests, kept, size = [], [], [], 0
     if ids:
-        yield _rows(ids, sizes, kept)
-
-
-LISTED = "id long, n int, tokens array<long>"
-
-
-def prefixes(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The index entries of each class's first document: id, n and its first tokens in order; the input is id, text."""
-    table = np.zeros(BUCKETS, np.int64)
-    found = docs.select("text").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-
-        def first(keys: np.ndarray) -> np.ndarray:
-            n = len(keys)
-            return keys[np.lexsort((keys, order[(keys % tx.U(BUCKETS)).astype(np.int64)]))[: n - -(-3 * n // 4) + 1]]
-
-        for batch in batches:
-            yield from _listed(batch, first)
+        yield _rows(ids, digests, kept)
 
-    lists = written(docs.mapInArrow(entries, LISTED), "jaccard-prefixes")
-    kept = written(lists.join(firsts, "id", "left_semi"), "jaccard-prefixes")
-    discard(lists)
-    return kept
 
-
-def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Sizes fit, and what follows the two positions can hold 3/7 of both sets."""
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - pos, m - at) >= 3 * (n + m))
-
-
-def _named(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The sets that the pairs may name: all of those, and few others. Joins then shuffle these alone."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-    slot = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
+def named_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of the classes (id, digest): id, digest, n, tokens, one row each. Texts of other ids are passed over by a filter of fixed size."""
+    slot = classes.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
     words = slot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(BITS >> 6, np.int64)
     table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = pairs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = shared.value
@@ -152,24 +223,44 @@ def _named(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield from _listed(batch.filter(pa.array((filled[s >> 6] >> (s & 63)) & 1 == 1)))
 
     keyed = docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
-    return keyed.mapInArrow(some, LISTED).select("id", F.col("tokens").alias("shingles"))
+    found = keyed.mapInArrow(some, "id long, digest binary, tokens array<long>")
+    return found.join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "digest", F.size("tokens").alias("n"), "tokens")
+
+
+def index(sets: DataFrame) -> DataFrame:
+    """The entries of sets that can link at all: token, id, n, pos, left (further entries of the set)."""
+    each = sets.select("id", "digest", "n", F.explode("tokens").alias("token"))
+    often = written(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-tokens")
+    lists = each.join(often, "token").groupBy("id", "digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # a set's own tokens
+    first = F.col("n") - F.ceil(F.col("n") * 3 / 4).cast("int") + 1
+    alone = F.col("n") - F.size("t")  # tokens of no other class come first and need no entry
+    some = lists.where((4 * F.size("t") >= 3 * F.col("n")) & (first > alone)).select("id", "n", alone.alias("alone"), F.slice("t", F.lit(1), first - alone).alias("t"))
+    entries = some.select("id", "n", "alone", F.size("t").alias("m"), F.posexplode("t").alias("k", "x"))
+    made = written(entries.select("x.token", "id", "n", (F.col("alone") + F.col("k")).alias("pos"), (F.col("m") - F.col("k")).alias("left")), "jaccard-index")
+    discard(often)
+    return made
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Sizes fit, and what follows the two positions can hold 3/7 of both sets."""
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - pos, m - at) >= 3 * (n + m))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; an id in very many pairs is spread over salts."""
     pairs = written(pairs.where("a <> b").distinct(), "jaccard-pairs")
     total = pairs.count()
     if not total:
         return pairs
-    sets = written(_named(pairs, docs), "jaccard-named")
+    sets = sets.select("id", "tokens")
     share = max(64, total // HEAVY)
     heavy = F.broadcast(pairs.groupBy("b").count().where(F.col("count") > share).select(F.col("b"), F.ceil(F.col("count") / share).cast("int").alias("k")))  # at most HEAVY rows
     salted = pairs.join(heavy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1))).alias("salt"))
-    right = sets.join(heavy.withColumnRenamed("b", "id"), "id", "left").select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)).cast("long") - 1)).alias("salt"))
-    both = salted.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(right, ["b", "salt"])
+    right = sets.join(heavy.withColumnRenamed("b", "id"), "id", "left").select(F.col("id").alias("b"), F.col("tokens").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)).cast("long") - 1)).alias("salt"))
+    both = salted.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a").join(right, ["b", "salt"])
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("i"))
     found = written(shared.where("100 * i >= 75 * (sum - i)").select("a", "b"), "jaccard-links")
-    discard(pairs, sets)
+    discard(pairs)
     return found
 
 
@@ -252,14 +343,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from found()
                 key, rows = here, {}
             mine = values[at[k] : at[k + 1]]
-            # an id of several texts may bring other sets; repeated rows count once
-            if digest[k] not in rows and hashlib.blake2b(mine.tobytes(), digest_size=16).digest() == digest[k]:
-                rows[digest[k]] = (left[k], len(mine), weight[k], marked[k], not here[2] and here[3] == here[4], mine.copy())
+            rows[digest[k]] = (left[k], len(mine), weight[k], marked[k], not here[2] and here[3] == here[4], mine.copy())
     yield from found()
 
 
-def link_counts(classes: DataFrame, docs: DataFrame, block: int = CELL_TOKENS) -> DataFrame:
-    """Links of classes (digest, id, n, w, marked, component): digest, links in documents of weight w, other where a link to a marked class is named."""
+def link_counts(classes: DataFrame, sets: DataFrame, block: int = CELL_TOKENS) -> DataFrame:
+    """Links of classes (digest, n, w, marked, component): digest, links in documents of weight w, other where a link to a marked class is named."""
     sized = classes.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
     units = sized.groupBy("component", "s").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / block).cast("int").alias("nb"))
     units = written(units, "jaccard-units")
@@ -271,13 +360,12 @@ def link_counts(classes: DataFrame, docs: DataFrame, block: int = CELL_TOKENS) -
         if(m > 1, transform(sequence(0, nb - 1), x -> named_struct('lo', s, 'up', 0, 'i', least(k, x), 'j', greatest(k, x), 'left', k <= x)), {none}),
         if(up_nb > 0, transform(sequence(0, up_nb - 1), x -> named_struct('lo', s, 'up', 1, 'i', k, 'j', x, 'left', true)), {none}),
         if(down_nb > 0, transform(sequence(0, down_nb - 1), x -> named_struct('lo', s - 1, 'up', 1, 'i', x, 'j', k, 'left', false)), {none}))""")
-    placed = written(placed.select("id", "digest", "component", "w", "marked", cells.alias("cells")).where("size(cells) > 0"), "jaccard-placed")
-    sets = _named(placed.select(F.col("id").alias("a"), F.col("id").alias("b")), docs).withColumnRenamed("shingles", "tokens")
-    both = placed.join(sets, "id").select("component", "digest", "w", "marked", "tokens", F.explode("cells").alias("c"))
+    placed = placed.select("digest", "component", "w", "marked", cells.alias("cells")).where("size(cells) > 0")
+    both = placed.join(sets.select("digest", "tokens"), "digest").select("component", "digest", "w", "marked", "tokens", F.explode("cells").alias("c"))
     both = both.select("component", "c.lo", "c.up", "c.i", "c.j", "digest", "c.left", "w", "marked", "tokens")
     found = both.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_cells, "digest binary, links long, other binary")
     found = written(found, "jaccard-counts")
-    discard(units, placed)
+    discard(units)
     return found
 
 
@@ -288,27 +376,28 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of first documents, enough of them to connect whatever is connected."""
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    lists = prefixes(docs, firsts)
-    entries = lists.select(F.posexplode("tokens").alias("pos", "token"), "id", "n", block.alias("block"))
-    shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    shared = written(shared, "jaccard-shared")
-    live = written(entries.join(shared, "token", "left_semi"), "jaccard-index")
-    discard(shared, lists)
+def _sized(n: Column, turn: int) -> Column:
+    """A size's block: sizes that can link lie in one or in two blocks that meet. Bounds move by a third of a block a turn."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + turn / TURNS).cast("int")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids of the sets, enough of them to connect whatever is connected."""
+    live = index(sets)
     found: list[DataFrame] = []
     labels = None
-    for turn in (0, 1):
-        here = written(_labelled(live, labels), "jaccard-live") if labels is not None else _labelled(live, None)
+    for turn in range(TURNS):
+        here = _labelled(live, labels).withColumn("block", _sized(F.col("n"), turn))
+        here = written(here, "jaccard-live") if labels is not None else here
         best = F.min_by(F.struct("id", "n", "pos", "comp"), F.xxhash64(F.lit(turn), "id"))
         leaders = here.groupBy("token", "block").agg(best.alias("to"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "block", "to")
-        met = here.join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
-        found.append(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), docs))
+        # the lists of a set's commonest indexed tokens
+        met = here.where(F.col("left") <= MEET).join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
+        found.append(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), sets))
         if labels is not None:
-            discard(here)
+            discard(here, labels)
         labels = components(reduce(DataFrame.unionAll, found))
-    here = written(_labelled(live, labels), "jaccard-live")
+    here = written(_labelled(live, labels).withColumn("block", _sized(F.col("n"), 0)), "jaccard-live")
     blocks = written(here.groupBy("token", "block").agg(*(f(c).alias(name) for name, f, c in (("lo", F.min, "comp"), ("hi", F.max, "comp"), ("pos", F.min, "pos"), ("least", F.min, "n"), ("most", F.max, "n")))), "jaccard-blocks")
     x, y = blocks.alias("x"), blocks.alias("y")
     next_to = (F.col("x.token") == F.col("y.token")) & F.col("y.block").isin(F.col("x.block"), F.col("x.block") + 1)
@@ -320,29 +409,35 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.other") == F.col("b.other")))
     ordered = (F.col("a.block") < F.col("a.other")) | (F.col("a.id") < F.col("b.id"))
     near = near.where(ordered & (F.col("a.comp") != F.col("b.comp")) & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
-    found.append(verified(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), docs))
-    discard(live, here, blocks, meet)
-    return reduce(DataFrame.unionAll, found)
+    found.append(verified(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), sets))
+    discard(live, here, blocks, meet, labels)
+    out = written(reduce(DataFrame.unionAll, found).distinct(), "jaccard-links")
+    discard(*found)
+    return out
 
 
 def join(docs: DataFrame, with_links: bool = True) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and unless left out n_links, how many other documents it is linked with."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    light = docs.select("doc_id", F.arrow_udf(_digests, "n long, digest binary")("text").alias("s")).select("doc_id", "s.n", "s.digest")
+    light = docs.select("doc_id", F.arrow_udf(_digests, "n long, digest binary, key long")("text").alias("s")).select("doc_id", "s.*")
     light = written(light, "jaccard-digests")
     has = light.where("digest is not null and doc_id is not null")
-    classes = written(has.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("size")), "jaccard-classes")
+    classes = written(has.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("size"), F.min("key").alias("key")), "jaccard-classes")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
+    some = classes.join(shared_tokens(texts), "key").where("4 * shared >= 3 * size").select("id", "digest")
+    some = written(some, "jaccard-some")
+    sets = written(named_sets(texts, some), "jaccard-sets")
     # an id given to several texts joins their classes
     same = has.join(classes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     ids = has.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     twice = ids.where("lo <> hi").select(F.col("doc_id").alias("a"))
-    edges = links(texts, classes.select("id").distinct()).unionAll(same.join(twice, "a", "left_semi"))
+    linked = links(sets)
+    edges = linked.unionAll(same.join(twice, "a", "left_semi"))
     labels = components(edges).withColumnRenamed("node", "id")
     # an id that leads several classes joins them in no edge: its label is its own
-    known = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = classes.drop("key").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")]
-    rest = light.where("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rest = light.drop("key").where("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     if not with_links:
         return has.join(known.drop("size"), "digest").select(*columns).unionAll(rest)
     # ids of one text are counted by class, ids of several by name
@@ -350,7 +445,7 @@ def join(docs: DataFrame, with_links: bool = True) -> DataFrame:
     single = ids.where("lo = hi").groupBy(F.col("lo").alias("digest")).agg(F.count("*").alias("w"))
     known = known.join(single, "digest", "left").join(several.select("digest", F.lit(True).alias("marked")).distinct(), "digest", "left")
     known = written(known.select("digest", "id", F.col("size").alias("n"), F.coalesce("w", F.lit(0)).alias("w"), F.coalesce("marked", F.lit(False)).alias("marked"), "component"), "jaccard-known")
-    counts = link_counts(known, texts)
+    counts = link_counts(known.drop("id"), sets)
     by_class = counts.where("other is null").groupBy("digest").agg(F.sum("links").alias("links"))
     known = known.drop("n").join(by_class, "digest", "left").withColumn("links", F.col("w") - 1 + F.coalesce("links", F.lit(0)))
     out = has.join(known, "digest")

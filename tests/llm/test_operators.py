@@ -104,9 +104,9 @@ def test_jaccard_link_counts_in_blocks(spark):
     data = list({t: (i, t) for i, t in near_copies() if i is not None and brute_set(t)}.values())
     data = [(k, t) for k, (_, t) in enumerate(data)]
     df = spark.createDataFrame(data, "id long, text string")
-    classes = df.select(F.arrow_udf(jaccard_join._digests, "n long, digest binary")("text").alias("s"), "id").select("s.digest", "id", "s.n", F.lit(1).cast("long").alias("w"), (F.col("id") % 3 == 0).alias("marked"), F.lit(0).cast("long").alias("component"))
+    classes = df.select(F.arrow_udf(jaccard_join._digests, "n long, digest binary, key long")("text").alias("s"), "id").select("s.digest", "id", "s.n", F.lit(1).cast("long").alias("w"), (F.col("id") % 3 == 0).alias("marked"), F.lit(0).cast("long").alias("component"))
     for block in (100, 1 << 19):
-        found = jaccard_join.link_counts(classes, df, block).join(classes.select("digest", "id"), "digest").collect()
+        found = jaccard_join.link_counts(classes, jaccard_join.named_sets(df, classes), block).join(classes.select("digest", "id"), "digest").collect()
         links = collections.Counter()
         for r in found:
             links[r.id] += r.links
