@@ -55,8 +55,8 @@ SHINGLE = 5
 HEAVY = 1000
 #: Rounds of meeting leaders, and the lists of which a class meets the leader in each.
 TURNS, MEET = 3, 3
-#: Tokens a task gathers before it sends their fingerprints, and bytes of text to a partition of them.
-GATHER, PART_BYTES = 1 << 20, 32 << 20
+#: Tokens a task gathers before it sends their fingerprints, bytes of text to a partition of them, and fingerprints compared at once.
+GATHER, PART_BYTES, AT_ONCE = 1 << 19, 64 << 20, 1 << 20
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -135,17 +135,19 @@ def _counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 def _met(prints: list[bytes], keys: list[bytes], lens: list[bytes]) -> pa.RecordBatch:
     """For each class, how many of its fingerprints other classes have."""
-    token = np.frombuffer(b"".join(prints), np.uint32)
-    owner = np.repeat(np.frombuffer(b"".join(keys), tx.U), np.frombuffer(b"".join(lens), np.uint32))
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(token) else np.zeros(0, bool)
-    token, owner = token[fresh], owner[fresh]
-    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(token)))
-    shared = owner[np.repeat(size > 1, size)]
-    found, n = np.unique(shared[shared != 0], return_counts=True)
-    return _counted(found, n)
+    token, key = np.frombuffer(b"".join(prints), np.uint32), np.frombuffer(b"".join(keys), tx.U)
+    known, row = np.unique(key, return_inverse=True)
+    row = np.repeat(row.astype(np.uint32), np.frombuffer(b"".join(lens), np.uint32))
+    total = np.zeros(len(known), np.int64)
+    turns = -(-len(token) // AT_ONCE)
+    for turn in range(turns):
+        here = np.flatnonzero(token % np.uint32(turns) == turn)
+        pair = np.unique(token[here].astype(tx.U) << tx.U(32) | row[here])
+        t, r = (pair >> tx.U(32)).astype(np.uint32), (pair & tx.U(0xFFFFFFFF)).astype(np.int64)
+        size = np.diff(np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)))
+        total += np.bincount(r[np.repeat(size > 1, size)], minlength=len(known))
+    some = (total > 0) & (known != 0)
+    return _counted(known[some], total[some])
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
