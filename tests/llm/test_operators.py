@@ -133,6 +133,45 @@ def test_mixing(spark):
     for name, want in zip(("big", "s0", "s1", "s2", "s3"), w * 50000, strict=True):
         assert want - 100 <= taken[name] <= want + 1e-6
     assert mixing.mix(df.where("false")).count() == 0
+    few = mixing.mix(df, entropy=0.99, blocks=16, few=0).toPandas()  # sources met in salted groups
+    assert sorted(zip(few.doc_id, few.copies)) == sorted(zip(out.doc_id, out.copies))
+
+
+def brute_mix(rows_, entropy, most):
+    """Least and most tokens of each source that its budget allows."""
+    n = collections.Counter()
+    for _, t, s in rows_:
+        n[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    n = {s: v for s, v in n.items() if v}
+    p = np.array(list(n.values())) / sum(n.values())
+    at = lambda e: p**e / (p**e).sum()
+    reach = lambda e: -(at(e) * np.log(at(e))).sum() >= entropy * math.log(len(p))
+    often = lambda e: (at(e) / p).max() > most
+    found = []
+    for test, ends in ((reach, (1.0, 1.0)), (often, (0.0, 0.0))):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if test(mid) else (lo, mid)
+        found.append(ends[0] if test(ends[0]) == (test is reach) else (lo if test is reach else hi))
+    return dict(zip(n, at(max(found)) * sum(n.values()), strict=True))
+
+
+@pytest.mark.parametrize("entropy, most", [(0.9, 100.0), (0.99, 1.5), (0.2, 100.0)])
+def test_mixing_weights(spark, entropy, most):
+    data = [(k, "w " * (1 + k % 7), f"s{int(math.sqrt(k))}") for k in range(1, 900)] + [(0, "w", "one")] * 3 + [(9, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in ("key", "block", "at", "copies", "n", "row")})
+    out = mixing.mix(df, entropy, most)
+    assert out.columns == ["doc_id", "text", "source", "key", "block", "at", "n", "row", "copies"]
+    taken, low = collections.Counter(), {}
+    for r in out.collect():
+        n = len((r.text or "").split())
+        taken[r.source] += n * r.copies
+        low[r.source] = max(low.get(r.source, 0), n * (3 if r.source == "one" else 1))
+    for s, want in brute_mix(data, entropy, most).items():
+        assert want - low[s] <= taken[s] <= want + 1e-6
+    nulls = spark.createDataFrame([(None, None, None), (1, "", "a")], "doc_id long, text string, source string")
+    assert [r.copies for r in mixing.mix(nulls).collect()] == [1, 1]
 
 
 def test_licenses(spark):
