@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a name in the shared folder, for tasks."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
 #: Shuffles of a finished write are of no more use: what is kept is the table.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -288,7 +288,25 @@ def test_exact_topk(spark):
         best = [j for j in np.lexsort((np.arange(402), -s)) if j != q][:5]
         want += [(q, k + 1, int(j), int(s[j])) for k, j in enumerate(best)]
     for size in (exact_topk.QUERY_BYTES, 128):  # one block of queries, and many
-        assert sorted(map(tuple, exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5, size).collect())) == want
+        assert sorted(map(tuple, exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5, size, 50 * size).collect())) == want
+    assert exact_topk.top_k(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_exact_topk_edges(spark):
+    rng = np.random.default_rng(4)
+    data = [(i // 2, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(60)]  # each id twice
+    data += [(i, [float(x) for x in rng.integers(-3, 3, 3) * 10.0**7 / 256]) for i in range(100, 130)]  # products beyond 2**53
+    data += [(200, []), (201, [1.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("row", "v", "dim", "norm", "score")})
+    want = []
+    whole = [None if i is None else [math.floor(256 * x) for x in v] for i, v in data]
+    for a, q in enumerate(whole):
+        if data[a][0] is not None and q and data[a][0] % 10 == 0:
+            found = sorted((-sum(x * y for x, y in zip(q, v)), data[b][0]) for b, v in enumerate(whole) if b != a and v and len(v) == len(q))[:5]
+            want += [(data[a][0], k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    assert sorted(map(tuple, exact_topk.top_k(df, F.col("vec_id") % 10 == 0, 5, 200, 700).collect())) == sorted(want)
+    with pytest.raises(Exception, match="long"):
+        exact_topk.top_k(spark.createDataFrame([(0, [1e14]), (1, [1e14])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
 
 
 def test_warc(spark, tmp_path):
