@@ -2,16 +2,21 @@
 
 Writing: each task writes one archive under a name of its own in the shared folder and
 renames it when it is complete, so a lost or repeated attempt leaves no half file; the
-names of complete files come back as rows. Payloads are joined with light rows only.
+names of complete files come back as rows. Records are WARC/1.1: a response holds an HTTP
+block whose body is the payload, a revisit the HTTP head alone, with the digest and the page
+it refers to. The page's id, and a URL that had to be changed to be one, stand in extension
+fields. One shuffle carries the payloads to the rows that say which are revisits.
 
-Reading: tasks get byte ranges. Inside its range a task looks for the gzip magic, accepts
-a place when a member decodes there and starts with a WARC header, and owns the records
-that start inside, reading past its end to finish the last. Chance magic inside compressed
-data doesn't decode to a header and is passed over.
+Reading: tasks get byte ranges, as many tasks as ranges. Inside its range a task looks for
+the gzip magic, accepts a place when a member decodes there and starts with a WARC header,
+and owns the records that start inside, reading past its end to finish the last. Chance magic
+inside compressed data doesn't decode to a header and is passed over. Bytes are read once, in
+order; memory holds one record. Archives of others are read too: what isn't there is null.
 
 Null html is the empty payload. Of rows with equal payloads of at least ``least`` bytes,
 that with the largest page_id is the response and the others revisit it; rows equal in
-page_id as well are all responses, and a null id counts as smallest.
+page_id as well are all responses, and a null id counts as smallest. Other columns are
+ignored, whatever their names. An empty table gives no file and no record.
 """
 
 from __future__ import annotations
@@ -21,41 +26,72 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm.tables import shared_dir, written
+from coordspark.llm.tables import opened, shared_dir, written
 
 MAGIC, SPLIT, AHEAD = b"\x1f\x8b\x08", 16 << 20, 1 << 20
+#: Start of a record, and how much of one must be seen to know it.
+NAME = b"WARC/"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-
-
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+#: The date of records, as the pages have none; and the profile of a revisit, a fixed value.
+DATE = "1970-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    body = b"" if revisit else payload
-    name = "" if page_id is None else page_id
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
+    """One member: the head, and the HTTP block."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
+    target = None if url is None else quote(url, safe="%:/?#[]@!$&'()*+,;=~")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}>",
-        f"WARC-Target-URI: {quote(url or '', safe='')}" if url is not None else "",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"X-Payload-Length: {len(payload)}",
-        f"WARC-Refers-To: <urn:page:{refers_to}>" if revisit else "", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}",
+        f"WARC-Target-URI: {target}" if target else "", f"X-Url: {quote(url, safe='')}" if target != url or target == "" else "",
+        f"X-Page: {page_id}" if page_id is not None else "", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
+        f"WARC-Profile: {PROFILE}" if revisit else "", f"X-Refers-To-Page: {refers_to}" if revisit else "",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     text = "\r\n".join(x for x in lines if x) + "\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(text.encode() + body + b"\r\n\r\n") + packer.flush()
+    return packer.compress(text.encode() + block + b"\r\n\r\n") + packer.flush()
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in lines}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdecimal() and abs(int(text)) < 2**63 else None
+
+
+def parsed(member: bytes) -> tuple:
+    """A record's row; an HTTP block's payload is what follows its head."""
+    head, _, rest = member.partition(b"\r\n\r\n")
+    fields = _fields(head)
+    block = rest[: length] if (length := _number(fields.get("content-length"))) is not None else rest
+    kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest")
+    body, http = block, {}
+    if fields.get("content-type", "").startswith("application/http"):
+        http_head, _, body = block.partition(b"\r\n\r\n")
+        http = _fields(http_head)
+    revisit = kind == "revisit"
+    raw = fields.get("x-url")
+    return (
+        _number(fields.get("x-page")), fields.get("warc-target-uri") if raw is None else unquote(raw),
+        _number(http.get("content-length")) if revisit else len(body), (stated.rpartition(":")[2] if stated else None) if revisit else sha1_base32(body),
+        kind, _number(fields.get("x-refers-to-page")),
+    )
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -74,7 +110,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         for batch in batches:
             for page_id, url, html, refers_to, revisit in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if out is None:
-                    fs, base = _open(folder)
+                    fs, base = opened(folder)
                     fs.create_dir(base, recursive=True)
                     name = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(name + ".open", compression=None)
@@ -90,51 +126,67 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 def members(path: str, size: int, start: int, stop: int) -> Iterator[bytes]:
     """The decoded records that start in [start, stop)."""
-    fs, name = _open(path)
+    fs, name = opened(path)
     with fs.open_input_file(name) as f:
-        at = start
+        f.seek(start)
+        held, at = b"", start  # bytes read from place ``at`` on
+
+        def more() -> bool:
+            nonlocal held
+            data = f.read(AHEAD)
+            held += data
+            return bool(data)
+
         while at < stop:
-            f.seek(at)
-            data = f.read(min(AHEAD, stop - at + 2))
-            k = data.find(MAGIC)
+            k = held.find(MAGIC)
             if k < 0:
-                at += max(len(data) - 2, 1)
+                keep = min(len(held), len(MAGIC) - 1)
+                at += len(held) - keep
+                held = held[len(held) - keep :]
+                if not more():
+                    return
                 continue
-            at += k
+            at, held = at + k, held[k:]
             if at >= stop:
                 return
-            decoder, out, pos = zlib.decompressobj(31), [], at
-            try:
-                f.seek(pos)
-                seen = 0
-                while not decoder.eof:
-                    chunk = f.read(1 << 16)
-                    if not chunk:
-                        raise zlib.error("cut short")
-                    pos += len(chunk)
-                    piece = decoder.decompress(chunk)
-                    out.append(piece)
-                    seen += len(piece)
-                    if seen >= 5 and not b"".join(out[:8])[:5] == b"WARC/":
-                        raise zlib.error("not a record")
-                whole = b"".join(out)
-                if not whole.startswith(b"WARC/") or b"\r\n\r\n" not in whole:
-                    raise zlib.error("not a record")
-            except zlib.error:
-                at += 1
+            whole, used = _member(held, more, lambda: held)
+            if whole is None:
+                at, held = at + 1, held[1:]
+            else:
+                yield whole
+                at, held = at + used, held[used:]
+
+
+def _member(first: bytes, more, all_) -> tuple[bytes | None, int]:
+    """The record that a gzip member at the start of the bytes holds, and its length; none where there is none."""
+    decoder, out, fed, seen = zlib.decompressobj(31), [], 0, b""
+    try:
+        while not decoder.eof:
+            data = all_()[fed:]
+            if not data:
+                if not more():
+                    return None, 0
                 continue
-            yield whole
-            at = pos - len(decoder.unused_data)
+            fed += len(data)
+            out.append(decoder.decompress(data))
+            if len(seen) < len(NAME):
+                seen = b"".join(out)[: len(NAME)]
+                if not NAME.startswith(seen):
+                    return None, 0
+    except zlib.error:
+        return None, 0
+    whole = b"".join(out)
+    return (whole, fed - len(decoder.unused_data)) if whole.startswith(NAME) and b"\r\n\r\n" in whole else (None, 0)
 
 
 def read(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame:
     """The records of the listed archives, one row each."""
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    ranges = written(ranges, "warc-ranges")
+    many = ranges.count()
+    ranges = ranges.repartition(max(many, 1), "path", "start")  # with a number, adaptive planning leaves them apart
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote
-
         names = [c.split()[0] for c in RECORD.split(", ")]
 
         def frame(rows: list) -> pd.DataFrame:
@@ -145,18 +197,7 @@ def read(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame
         for ranges_ in frames:
             for path, size, start in zip(ranges_["path"], ranges_["size"], ranges_["start"], strict=True):
                 for whole in members(path, size, start, min(start + split, size)):
-                    head, body = whole.split(b"\r\n\r\n", 1)
-                    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-                    payload = body[: int(fields["Content-Length"])]
-                    revisit = fields["WARC-Type"] == "revisit"
-                    number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-                    url = fields.get("WARC-Target-URI")
-                    rows.append((
-                        number(fields["WARC-Record-ID"]), None if url is None else unquote(url),
-                        int(fields["X-Payload-Length"]) if revisit else len(payload),
-                        fields["WARC-Payload-Digest"][5:] if revisit else sha1_base32(payload),
-                        fields["WARC-Type"], number(fields.get("WARC-Refers-To")),
-                    ))
+                    rows.append(parsed(whole))
                     if len(rows) >= 4096:
                         yield frame(rows)
                         rows = []
