@@ -6,10 +6,13 @@ joins of light rows. Leaves are ranked by their path's score; the chosen leaves'
 are marked by going down the same jumps again, and each path is formatted as one
 conversation.
 
-Null texts and roles are empty. Messages whose parent isn't there are roots. A repeated
-key makes its replies ambiguous, so keys must be unique within a tree; linear
-conversations are keyed by position, which gives repeated rows keys of their own.
-Ties in score go to the deeper path, then to the smaller key. Empty tables give no row.
+Null texts and roles are empty. Messages whose parent isn't there are roots, and so is that
+of smallest key on a cycle of replies: the cycle is cut there. Of messages that repeat a key,
+replies go to the first in order of parent, role, text and score; the others are leaves of
+their own. Linear conversations are keyed by position, which gives repeated rows keys of
+their own. Ties in score go to the deeper path, then to the smaller key. Null conversation
+ids are one conversation. A conversation is one row, so what a row can hold bounds it. Other
+columns are ignored, whatever their names. Empty tables give no row.
 
 Template: ``<|im_start|>role\\n text <|im_end|>\\n``. In texts a backslash is put between
 ``<`` and ``|``, also where backslashes stand there already, so removing one undoes it;
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.tables import written
+from coordspark.llm.tables import discard, written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -102,32 +105,58 @@ def linear(messages: DataFrame) -> DataFrame:
     return keyed.select("conv_id", "key", F.when(F.col("key") > 1, F.col("key") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
-def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """The messages on each tree's best root-to-leaf paths: conv_id, root, leaf, place, role, text."""
-    nodes = written(messages.select("conv_id", "key", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), "role", "text"), "chat-nodes")
-    light = nodes.select("conv_id", "key", "parent", "score")
+def _on(a: str, b: str) -> Column:
+    return F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col(a) == F.col(b))
 
-    def on(a: str, b: str) -> Column:
-        return F.col(f"a.conv_id").eqNullSafe(F.col(f"b.conv_id")) & (F.col(a) == F.col(b))
 
-    there = light.alias("a").join(light.select("conv_id", "key").alias("b"), on("a.parent", "b.key"), "left")
-    jumps = [written(there.select("a.conv_id", "a.key", F.col("b.key").alias("up"), F.lit(1).alias("depth"), "a.score", F.when(F.col("b.key").isNull(), F.col("a.key")).alias("root")), "chat-jumps")]
+def _jumps(light: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables of jumps of 1, 2, 4, ... steps up, as far as any goes; or the messages to cut where some never end."""
+    there = light.alias("a").join(light.select("conv_id", "key").alias("b"), _on("a.parent", "b.key"), "left")
+    first = there.select("a.conv_id", "a.key", F.col("b.key").alias("up"), F.lit(1).alias("depth"), "a.score", F.when(F.col("b.key").isNull(), F.col("a.key")).alias("root"), F.col("a.key").alias("least"))
+    jumps = [written(first, "chat-jumps")]
+    most = jumps[0].groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while not jumps[-1].where("up is not null").isEmpty():
+        if 1 << (len(jumps) - 1) > most:  # further up than a tree can go: every end is on a cycle
+            ends = jumps[-1].where("up is not null").select("conv_id", F.col("up").alias("key")).distinct()
+            cut = jumps[-1].alias("a").join(ends.alias("b"), _on("a.key", "b.key"), "left_semi").where("key = least").select("conv_id", "key")
+            cut = written(cut, "chat-cuts")
+            discard(*jumps)
+            return [], cut
         last = jumps[-1]
-        far = last.alias("a").join(last.alias("b"), on("a.up", "b.key"), "left")
+        far = last.alias("a").join(last.alias("b"), _on("a.up", "b.key"), "left")
         add = lambda c: F.col(f"a.{c}") + F.coalesce(f"b.{c}", F.lit(0))
-        jumps.append(written(far.select("a.conv_id", "a.key", F.col("b.up").alias("up"), add("depth").alias("depth"), add("score").alias("score"), F.coalesce("a.root", "b.root").alias("root")), "chat-jumps"))
+        jumps.append(written(far.select("a.conv_id", "a.key", F.col("b.up").alias("up"), add("depth").alias("depth"), add("score").alias("score"), F.coalesce("a.root", "b.root").alias("root"), F.least("a.least", "b.least").alias("least")), "chat-jumps"))
+    return jumps, None
+
+
+def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """The messages on each tree's best root-to-leaf paths: conv_id, root, leaf, place, role, text."""
+    same = Window.partitionBy("conv_id", "key").orderBy("parent", "role", "text", "score")
+    numbered = messages.select("conv_id", "key", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), "role", "text").withColumn("again", F.row_number().over(same))
+    as_key = lambda key, again: F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), again.alias("again")))
+    # a null key is one that no parent names
+    own = F.struct(F.col("key").alias("key"), F.col("again").alias("again"))
+    nodes = written(numbered.select("conv_id", own.alias("key"), as_key("parent", F.lit(1)).alias("parent"), "score", "role", "text"), "chat-nodes")
+    light = nodes.select("conv_id", "key", "parent", "score")
+    jumps, cut = _jumps(light)
+    if cut is not None:
+        marked = light.alias("a").join(cut.withColumn("cut", F.lit(True)).alias("b"), _on("a.key", "b.key"), "left")
+        jumps, _ = _jumps(marked.select("a.conv_id", "a.key", F.when(F.col("cut").isNull(), F.col("a.parent")).alias("parent"), "a.score"))
     full = jumps[-1]
     parents = jumps[0].where("up is not null").select("conv_id", "up").distinct()
-    leaves = full.alias("a").join(parents.alias("b"), on("a.key", "b.up"), "left_anti").select("conv_id", "key", "root", "depth", "score")
+    leaves = full.alias("a").join(parents.alias("b"), _on("a.key", "b.up"), "left_anti").select("conv_id", "key", "root", "depth", "score")
     rank = F.row_number().over(Window.partitionBy("conv_id", "root").orderBy(F.desc("score"), F.desc("depth"), "key"))
     marked = leaves.withColumn("r", rank).where(F.col("r") <= branches).select("conv_id", "key", F.col("key").alias("leaf"))
+    steps = []
     for step in reversed(jumps):
-        up = marked.alias("a").join(step.where("up is not null").alias("b"), on("a.key", "b.key"))
+        up = marked.alias("a").join(step.where("up is not null").alias("b"), _on("a.key", "b.key"))
         marked = written(marked.unionAll(up.select("a.conv_id", "b.up", "a.leaf")).distinct(), "chat-paths")
+        steps.append(marked)
     place = full.select("conv_id", "key", "root", F.col("depth").alias("place"))
-    found = marked.alias("a").join(place.alias("b"), on("a.key", "b.key")).select("a.conv_id", "a.key", "a.leaf", "b.root", "b.place")
-    return found.alias("a").join(nodes.alias("b"), on("a.key", "b.key")).select("a.conv_id", "root", "leaf", "place", "role", "text")
+    found = marked.alias("a").join(place.alias("b"), _on("a.key", "b.key")).select("a.conv_id", "a.key", "a.leaf", "b.root", "b.place")
+    paths = found.alias("a").join(nodes.alias("b"), _on("a.key", "b.key")).select("a.conv_id", "root.key", "leaf", "place", "role", "text").withColumnRenamed("key", "root")
+    discard(*steps[:-1], *jumps[1:-1])
+    return paths
 
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
