@@ -56,7 +56,7 @@ HEAVY = 1000
 #: Rounds of meeting leaders, and the lists of which a class meets the leader in each.
 TURNS, MEET = 3, 3
 #: Tokens a task gathers before it sends their fingerprints, bytes of text to a partition of them, and fingerprints compared at once.
-GATHER, PART_BYTES, AT_ONCE = 1 << 19, 64 << 20, 1 << 20
+GATHER, PART_BYTES, AT_ONCE = 1 << 19, 32 << 20, 1 << 19
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

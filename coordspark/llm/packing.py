@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coordspark.llm.tables import bounded
+
 CAPACITY, PIECE, BLOCK, END = 2048, 512, 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: How a byte-level BPE cuts a text into words; fixed value of that kind of vocabulary.
@@ -177,4 +179,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int =
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, SCHEMA)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm import text as tx
+from coordspark.llm.tables import bounded
 
 WIDTH, FILTERS = 4, 16
 CHUNK, STEP = 256, 224
@@ -199,4 +200,4 @@ def held_out(doc_id: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """The documents with ``score`` and ``predicted`` in place of any columns of those names."""
     net = fit(docs, labels.where(~held_out(F.col("doc_id"))), most_rows=most_rows)
-    return docs.withColumn("score", score(F.col("text"), net)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return bounded(docs).withColumn("score", score(F.col("text"), net)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm import text as tx
+from coordspark.llm.tables import bounded
 
 #: Characters that count as symbols, ends of sentences, separators of menus.
 SYMBOLS = b"#*$%&|<>"
@@ -167,4 +168,4 @@ def quality(text: Column, most_lost: float = MOST_LOST, with_text: bool = True)
 
 def clean(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST, result: str = "quality_rules") -> DataFrame:
     """The documents with their figures, verdict and cleaned text in one more struct column."""
-    return docs.withColumn(result, quality(F.col(f"`{text}`"), most_lost))
+    return bounded(docs).withColumn(result, quality(F.col(f"`{text}`"), most_lost))

@@ -8,8 +8,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The most bytes of a batch that goes to a Python worker: batches are bounded by rows otherwise, which long texts make large.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame as it is, in a session that sends batches of few bytes; a smaller bound stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +45,7 @@ FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing but a read."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREED)
     spark.conf.set(FREED, "true")
