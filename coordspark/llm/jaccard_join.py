@@ -55,8 +55,8 @@ SHINGLE = 5
 HEAVY = 1000
 #: Rounds of meeting leaders, and the lists of which a class meets the leader in each.
 TURNS, MEET = 3, 3
-#: Tokens a task gathers before it sends their fingerprints, bytes of text to a partition of them, and fingerprints compared at once.
-GATHER, PART_BYTES, AT_ONCE = 1 << 19, 32 << 20, 1 << 19
+#: Tokens a task gathers before it sends their fingerprints, bytes of text to a part of them, and parts that a task takes one after the other.
+GATHER, PART_BYTES, PARTS = 1 << 19, 2 << 20, 16
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -138,14 +138,10 @@ def _met(prints: list[bytes], keys: list[bytes], lens: list[bytes]) -> pa.Record
     token, key = np.frombuffer(b"".join(prints), np.uint32), np.frombuffer(b"".join(keys), tx.U)
     known, row = np.unique(key, return_inverse=True)
     row = np.repeat(row.astype(np.uint32), np.frombuffer(b"".join(lens), np.uint32))
-    total = np.zeros(len(known), np.int64)
-    turns = -(-len(token) // AT_ONCE)
-    for turn in range(turns):
-        here = np.flatnonzero(token % np.uint32(turns) == turn)
-        pair = np.unique(token[here].astype(tx.U) << tx.U(32) | row[here])
-        t, r = (pair >> tx.U(32)).astype(np.uint32), (pair & tx.U(0xFFFFFFFF)).astype(np.int64)
-        size = np.diff(np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)))
-        total += np.bincount(r[np.repeat(size > 1, size)], minlength=len(known))
+    pair = np.unique(token.astype(tx.U) << tx.U(32) | row)
+    t, r = (pair >> tx.U(32)).astype(np.uint32), (pair & tx.U(0xFFFFFFFF)).astype(np.int64)
+    size = np.diff(np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))) if len(t) else np.zeros(0, np.int64)
+    total = np.bincount(r[np.repeat(size > 1, size)], minlength=len(known))
     some = (total > 0) & (known != 0)
     return _counted(known[some], total[some])
 
@@ -168,7 +164,8 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_tokens(docs: DataFrame) -> DataFrame:
     """For classes of the texts, how many of their tokens other classes have too, or more: key, shared."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES))
+    parts = int(max(1, size // PART_BYTES))
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts // PARTS)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = {}, 0
@@ -184,7 +181,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
         if sets:
             yield _sent(sets, parts)
 
-    blobs = docs.where("id is not null").select("text").mapInArrow(sent, FINGERPRINTS).repartition(parts, "part").sortWithinPartitions("part")
+    blobs = docs.where("id is not null").select("text").mapInArrow(sent, FINGERPRINTS).repartition(tasks, "part").sortWithinPartitions("part")
     return blobs.mapInArrow(_meeting, "key long, n long").groupBy("key").agg(F.sum("n").alias("shared"))
 
 
