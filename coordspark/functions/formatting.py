@@ -28,10 +28,15 @@ def format_dms(value: Column, axis: str, decimals: int = 3) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """The shortest plain decimal of up to ten places, with at least one."""
-    plain = F.regexp_replace(F.format_string("%.10f", value), r"0+$", "")
+    """The shortest decimal that reads back the same: plain from 1e-4 to 1e16 with at least one place, in powers of ten beyond."""
+    digits = F.regexp_extract(value.cast("string"), r"^-?([0-9.]+)", 1)  # as 0.5, 1.2345678 with a power, or 5.0 with one
+    exp = F.coalesce(F.regexp_extract(value.cast("string"), r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    sign = F.when(value < 0, "-").otherwise("")
+    plain = F.regexp_replace(F.abs(value).cast("decimal(38,20)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    return F.when(plain == "-0.0", "0.0").otherwise(plain)
+    power = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")))
+    text = F.when((F.abs(value) >= 1e16) | ((F.abs(value) < 1e-4) & (value != 0)), power).otherwise(plain)
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.concat(sign, text))
 
 
 def wkt_point(lat: Column, lon: Column) -> Column:
@@ -48,7 +53,8 @@ def gpx_number(value: Column) -> Column:
 
 def csv_safe(text: Column) -> Column:
     """A quote before cells a spreadsheet would run as a formula; signed coordinates stay."""
-    harmless = r"^[0-9 .,\-+eE°ºª'\"′″ NSEWOLnsewol]*$"
+    # fixed value: the characters of coordinates
+    harmless = r"^[0-9 .,\-+eE°ºª'\"′″ NSEWOLnsewol]*\z"
     risky = text.rlike("^[=@]") | (text.rlike(r"^[+\-\t\r]") & ~text.rlike(harmless))
     return F.when(risky, F.concat(F.lit("'"), text)).otherwise(text)
 
@@ -56,3 +62,23 @@ def csv_safe(text: Column) -> Column:
 def xml_text(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     return F.replace(out, F.lit(">"), F.lit("&gt;"))
+
+
+def xml_attribute(text: Column) -> Column:
+    return F.replace(xml_text(text), F.lit('"'), F.lit("&quot;"))
+
+
+def without_controls(text: Column) -> Column:
+    """Without the control characters that a workbook can't hold."""
+    return F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+
+
+#: What each status says.
+STATUS_TEXT = {
+    "ok": "In range", "missing": "Unreadable or empty", "out_of_range": "Out of range", "swap_range": "Likely reversed: only the other order is in range",
+    "swap_cluster": "Likely reversed: away from the rest", "swap_axis": "Reversed: a hemisphere letter says so",
+}
+
+
+def status_text(status: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in STATUS_TEXT.items() for x in pair))[status]

@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The letter, the unsigned number and the form of a projected number.
 _LETTER = r"(?iu)(?<![\p{L}\p{Nl}\p{No}])([NSEWOL])(?![\p{L}\p{Nl}\p{No}])"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
 _METRES = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
-#: Characters that are removed before reading, and spaces inside projected numbers.
+#: Characters that are removed before reading, white space as Unicode has it, and what is removed inside projected numbers.
 _REMOVED = "[﻿\u0085\u001c-\u001f]"
-_SPACES = "[\\s   ']"
+_WHITE = r"[\s\x0B\u0085   -     　\u001c-\u001f]"
+_SPACES = r"[\s\x0B\u0085   -     　\u001c-\u001f﻿']"
+#: What a reader may have put for an empty cell, and the marks of an angle.
+_BLANKS = ("", "nan", "None", "-")
+_ANGULAR = r"""(?iu)[°º'"′″]|[NSEWOL](?![\p{L}\p{N}_])"""
 
 
 def _clean(text: Column) -> Column:
     out = F.translate(F.regexp_replace(text.cast("string"), _REMOVED, ""), "ºª", "°°")
-    return F.regexp_replace(out, r"^[\s ]+|[\s ]+$", "")
+    return F.regexp_replace(out, f"^{_WHITE}+|{_WHITE}+$", "")
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text.cast("string"), f"^{_WHITE}+|{_WHITE}+$", "")
+
+
+def blank(text: Column) -> Column:
+    """Whether a cell has nothing in it, however that is spelled."""
+    return F.coalesce(stripped(text).isin(*_BLANKS), F.lit(True))
+
+
+def looks_angular(text: Column) -> Column:
+    """Whether a cell carries a degree sign, a prime or a hemisphere letter."""
+    return F.coalesce(text.rlike(_ANGULAR), F.lit(False))
 
 
 def letter(text: Column) -> Column:
@@ -59,11 +79,12 @@ def with_coordinates(df: DataFrame, cells: dict[str, str]) -> DataFrame:
 
 
 def parse_projected(text: Column) -> Column:
-    """Metres: the last of point and comma is the decimal sign; null where the text isn't a finite number."""
+    """Metres: the last of point and comma is the decimal sign and the other one marks thousands; null where the text isn't a finite number."""
     t = F.regexp_replace(text.cast("string"), _SPACES, "")
-    dot, comma = F.length(t) - F.locate(".", F.reverse(t)), F.length(t) - F.locate(",", F.reverse(t))
     both = t.contains(".") & t.contains(",")
-    plain = F.when(both & (comma > dot), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
+    comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
+    as_decimal = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    plain = F.when(both & comma_last, as_decimal).when(both, F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
     value = F.when(plain.rlike(_METRES), plain.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
@@ -86,3 +107,32 @@ def in_range(value: Column, axis: str) -> Column:
 
 def valid_pair(lat: Column, lon: Column) -> Column:
     return in_range(lat, "lat") & in_range(lon, "lon")
+
+
+def bare(text: Column) -> Column:
+    """Whether a cell has neither a sign nor a hemisphere letter."""
+    clean = _clean(text)
+    return F.coalesce(~clean.startswith("-") & (_letter_of(clean) == ""), F.lit(False))
+
+
+def sign_missing(value: Column, unsigned: Column, axis: str, boxes: tuple) -> Column:
+    """Whether only the region's sign is missing: written without one, off the region's span on the axis, and inside it once negated."""
+    low, high = (min(b[0] for b in boxes), max(b[1] for b in boxes)) if axis == "lat" else (min(b[2] for b in boxes), max(b[3] for b in boxes))
+    return F.coalesce(unsigned & ~value.between(low, high) & (-value).between(low, high), F.lit(False))
+
+
+def unsigned_outside(text: Column, axis: str, boxes: tuple) -> Column:
+    """The same for a cell."""
+    return sign_missing(parse_coordinate(text), bare(text), axis, boxes)
+
+
+def sheet_key_25k(text: Column) -> Column:
+    """A 1:25 000 sheet's number and letters, as 349, 162A or 325B/C; null where the text is none."""
+    parts = lambda k: F.regexp_extract(stripped(text), r"(?i)^(?:folha\s*)?([0-9]{1,3})(?:[.,]0+)?\s*-?\s*([a-c](?:\s*/\s*[a-c])?)?$", k)
+    return F.when(parts(1) != "", F.concat(parts(1).cast("int").cast("string"), F.upper(F.regexp_replace(parts(2), r"\s", ""))))
+
+
+def sheet_key_50k(text: Column) -> Column:
+    """A 1:50 000 sheet's number and letters, as 43-A; null where the text is none."""
+    parts = lambda k: F.regexp_extract(stripped(text), r"(?i)^0*([0-9]{1,2})\s*[-\s]?\s*([a-d]{1,2})$", k)
+    return F.when(parts(1) != "", F.concat(parts(1), F.lit("-"), F.upper(parts(2))))
