@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +67,20 @@ def parse_coordinate(text: Column) -> Column:
     return _value_of(t, _letter_of(t), _numbers_of(t))
 
 
-def with_coordinates(df: DataFrame, cells: dict[str, str]) -> DataFrame:
-    """The frame with each named coordinate read from a cell column.
+def with_coordinates(df: DataFrame, cells: dict[str, str], mismatch: str | None = None) -> DataFrame:
+    """The frame with each named coordinate read from a cell column, and on request whether letters contradict lat and lon.
 
     Cleaned text, letter and numbers are columns of their own on the way, so the plan computes each once.
     """
-    columns = df.columns
-    names = [(out, f"_{out}_text", f"_{out}_letter", f"_{out}_numbers") for out in cells]
+    columns, prefix = df.columns, f"read_{uuid.uuid4().hex[:8]}"  # names that no column has
+    names = [(out, *(f"{prefix}_{out}_{k}" for k in range(3))) for out in cells]
     df = df.withColumns({t: _clean(F.col(cells[out])) for out, t, _, _ in names})
     df = df.withColumns({k: v for _, t, a, n in names for k, v in ((a, _letter_of(F.col(t))), (n, _numbers_of(F.col(t))))})
     values = {out: _value_of(F.col(t), F.col(a), F.col(n)) for out, t, a, n in names}
-    return df.withColumns(values).select(*(c for c in columns if c not in cells), *cells)
+    if mismatch is not None:
+        letters = {out: F.col(a) for out, _, a, _ in names}
+        values[mismatch] = F.coalesce(letters["lat"].isin("E", "W", "O", "L") | letters["lon"].isin("N", "S"), F.lit(False))
+    return df.withColumns(values).select(*(c for c in columns if c not in values), *values)
 
 
 def parse_projected(text: Column) -> Column:

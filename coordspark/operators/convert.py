@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coordspark.functions import crs, formatting, parse
 from coordspark.operators import regions, swaps
+from coordspark.operators.tables import written
 
 #: The derived columns, and the like for a second system.
 DERIVED = ("Latitude_DD", "Longitude_DD", "X_DD", "Y_DD", "WKT", "Latitude_GMS", "Longitude_GMS", "Folha_25k", "Folha_50k", "Nome_50k")
@@ -76,6 +77,7 @@ def convert(table: DataFrame, first: str, second: str, *keys: str, system: int |
     mismatch = parse.axis_mismatch(F.col(first), F.col(second)) if found is None or not found.projected else None
     rounded = points.withColumns({"exact_lat": F.col("lat"), "exact_lon": F.col("lon"), "mismatch": mismatch if mismatch is not None else F.lit(False)})
     rounded = rounded.withColumns({c: formatting.round_half_even(F.col(c), decimals) for c in ("lat", "lon")})
+    rounded = written(rounded, "converted")  # statuses name lat and lon many times: each cell is read once
     labelled = swaps.detect(rounded, *keys, region=region, reference=reference, radius=radius, mismatch=F.col("mismatch"))
     exact = labelled.withColumns({"lat": F.col("exact_lat"), "lon": F.col("exact_lon")}).drop("exact_lat", "exact_lon", "mismatch")
     return derived(exact, decimals, dms, target, mode)

@@ -6,20 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import crs, formatting, parse
-from coordspark.operators import regions
-from coordspark.plans.survey import survey_sql
+from coordspark.operators import columns, convert, quantiles, regions, sheet_index, sheets, swaps
+from coordspark.operators.tables import written
+from coordspark.plans.survey import grid_sql, notebook_sql, survey_sql
+from coordspark.sinks import documents
 
 MAINLAND = "Portugal mainland"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores where a table has fewer splits than there are: reading a cell costs more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(survey_sql("{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority"))
+    return spark.sql(survey_sql("{orders}"), orders=orders)
+
+
+def customers(spark: SparkSession, sf_dir: str, sql) -> DataFrame:
+    return spark.sql(sql("{customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, sample, raw cells, lat and lon rounded to six decimals."""
-    read = parse.with_coordinates(survey(spark, sf_dir), {"lat": "lat_raw", "lon": "lon_raw"})
-    return read.withColumns({c: formatting.round_half_even(F.col(c)) for c in ("lat", "lon")})
+    """row_id, sample, raw cells, lat and lon rounded to six decimals, and whether letters contradict them."""
+    read = parse.with_coordinates(survey(spark, sf_dir), {"lat": "lat_raw", "lon": "lon_raw"}, "mismatch")
+    read = read.withColumns({c: formatting.round_half_even(F.col(c)) for c in ("lat", "lon")})
+    # what follows names lat and lon many times, in filters too: a written table keeps each cell read once
+    return written(read.select("row_id", "sample", "lat", "lon", "mismatch"), "points")
 
 
 def parse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +47,7 @@ def axis_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mismatch = parse.axis_mismatch(F.col("lat_raw"), F.col("lon_raw"))
-    return points(spark, sf_dir).withColumn("status", regions.classify(F.col("lat"), F.col("lon"), MAINLAND, mismatch))
+    return points(spark, sf_dir).withColumn("status", regions.classify(F.col("lat"), F.col("lon"), MAINLAND, F.col("mismatch")))
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,17 +92,114 @@ def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.select("c_custkey", formatting.csv_safe(cell).alias("cell"))
 
 
-QUERIES = {f.__name__: f for f in (region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells)}
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.metrics(_labelled(spark, sf_dir), "sample", region=MAINLAND)
+
+
+def region_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that are ok but outside the mainland, by the region they are in."""
+    return regions.region_check(_labelled(spark, sf_dir), "sample", region=MAINLAND)
+
+
+def swap_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = swaps.by_reference(points(spark, sf_dir), (39.5, -8.0), 4.0, F.col("mismatch"))
+    return found.groupBy("sample", "status").agg(F.count("*").alias("n"))
+
+
+def swap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses against each sample's own densest cluster."""
+    found = swaps.by_cluster(points(spark, sf_dir), "sample", mismatch=F.col("mismatch"))
+    return found.groupBy("sample", "status").agg(F.count("*").alias("n"))
+
+
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ninth decile of latitudes in range by sample."""
+    good = points(spark, sf_dir).where(parse.in_range(F.col("lat"), "lat"))
+    return quantiles.quantile(good.select("sample", F.col("lat").alias("v")), ["sample"], 0.9, "q90").withColumn("q90", F.round("q90", 6))
+
+
+def suggest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.suggest_region(customers(spark, sf_dir, notebook_sql), "source_id", chosen=MAINLAND)
+
+
+def signable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.signable(customers(spark, sf_dir, notebook_sql), "Moçambique", "source_id")
+
+
+def grid_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = customers(spark, sf_dir, grid_sql)
+    return cells.select("row_id", parse.parse_projected(F.col("x_raw")).alias("x"), parse.parse_projected(F.col("y_raw")).alias("y"))
+
+
+def suggest_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether points a thousand times too small fit the mainland."""
+    p = points(spark, sf_dir).withColumnsRenamed({"lat": "lat_km", "lon": "lon_km"})
+    return regions.suggest_scale(p.withColumns({"lat": F.col("lat_km") / 1000, "lon": F.col("lon_km") / 1000}), MAINLAND, "sample")
+
+
+def sheet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the military grid by the map sheets they lie in."""
+    km = customers(spark, sf_dir, grid_sql).withColumns({"m": F.col("x").cast("double") / 1000, "p": F.col("y").cast("double") / 1000})
+    return sheets.sheets_at(km.select("row_id", "m", "p")).groupBy("at25", "at50", "at50name").agg(F.count("*").alias("n"))
+
+
+def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a header of part types, some empty and many repeated."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    cells = part.select(F.col("p_brand").alias("source_id"), (F.col("p_partkey") - 1).alias("pos"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_type")).alias("cell"))
+    return columns.header_names(cells)
+
+
+def column_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the columns of the survey look like coordinates."""
+    cells = survey(spark, sf_dir).select(F.col("sample").alias("source_id"), "row_id", F.array("sample", "lat_raw", "lon_raw", F.col("row_id").cast("string")).alias("cells"))
+    found = columns.scores(cells)
+    return found.select("source_id", F.col("i").cast("long").alias("i"), F.round("score", 6).alias("score"), F.round("median", 6).alias("median"))
+
+
+def column_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coordinate columns of the survey's tables, whose names say nothing."""
+    cells = survey(spark, sf_dir).select(F.col("sample").alias("source_id"), "row_id", F.array("sample", "lon_raw", "lat_raw", F.col("row_id").cast("string")).alias("cells"))
+    headers = cells.select("source_id").distinct().withColumn("names", F.array(*map(F.lit, ("a", "b", "c", "d"))))
+    return columns.guess_coordinate_columns(cells, headers, MAINLAND)
+
+
+def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole conversion, with likely swaps applied."""
+    out = convert.convert(survey(spark, sf_dir), "lat_raw", "lon_raw", "sample", region=MAINLAND)
+    fixed = convert.apply_swaps(out, F.col("status").startswith("swap_"))
+    return fixed.select("row_id", "status", "Latitude_DD", "Longitude_DD", "WKT")
+
+
+def gpx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way points of a GPX document for each sample."""
+    good = _labelled(spark, sf_dir).where("status = 'ok'").select(F.col("sample").alias("source_id"), "row_id", F.col("lat").alias("Latitude_DD"), F.col("lon").alias("Longitude_DD"), F.col("sample").alias("name"))
+    return documents.gpx(good, "name").where(F.col("pos") >= 0).where(F.col("pos") < documents.FOOT).select("source_id", "pos", "line")
+
+
+def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.search(survey(spark, sf_dir), "7° 1").select("row_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
+        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search,
+    )
+}
 
 
 def _oracle() -> dict[str, str]:
     def letter(c: str) -> str:
         return f"upper(regexp_extract(replace({c}, 'º', '°'), '(?:^|[^A-Za-z])([NSEWOLnsewol])(?:$|[^A-Za-z])', 1))"
 
-    def value(c: str) -> str:
+    def value(c: str, rounded: bool = True) -> str:
         n = f"list_transform(regexp_extract_all({c}, '[0-9]+(?:[.,][0-9]+)?'), lambda x: CAST(replace(x, ',', '.') AS DOUBLE))"
         size = f"({n}[1] + coalesce({n}[2], 0) / 60 + coalesce({n}[3], 0) / 3600)"
         sign = f"CASE WHEN {letter(c)} IN ('S', 'W', 'O') OR ({letter(c)} = '' AND regexp_matches({c}, '^-[0-9]')) THEN -1 ELSE 1 END"
+        if not rounded:
+            return f"CASE WHEN len({n}) > 0 AND NOT coalesce({n}[2] >= 60, false) AND NOT coalesce({n}[3] >= 60, false) THEN {sign} * {size} END"
         return f"CASE WHEN len({n}) > 0 AND NOT coalesce({n}[2] >= 60, false) AND NOT coalesce({n}[3] >= 60, false) THEN {sign} * round_even({size} * 1e6, 0) / 1e6 END"
 
     def inside(lat: str, lon: str, name: str) -> str:
@@ -108,15 +219,86 @@ def _oracle() -> dict[str, str]:
     ok = lambda a, b: f"({a} BETWEEN -90 AND 90 AND {b} BETWEEN -180 AND 180)"
     axis = lambda c: f"CASE WHEN {letter(c)} IN ('N', 'S') THEN 'lat' WHEN {letter(c)} <> '' THEN 'lon' ELSE '' END"
     mismatch = f"({axis('lat_raw')} = 'lon' OR {axis('lon_raw')} = 'lat')"
-    base = f"WITH cells AS ({survey_sql()}), pts AS (SELECT *, {value('lat_raw')} AS lat, {value('lon_raw')} AS lon FROM cells)"
+    trim = lambda c: f"regexp_replace({c}, '^[\\s\u2009\u3000]+|[\\s\u2009\u3000]+$', '', 'g') AS {c}"
+    base = f"WITH raw AS ({survey_sql()}), cells AS (SELECT row_id, sample, {trim('lat_raw')}, {trim('lon_raw')} FROM raw), pts AS (SELECT *, {value('lat_raw')} AS lat, {value('lon_raw')} AS lon FROM cells)"
     label = f"""{base}, labelled AS (SELECT *, CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing'
-        WHEN {mismatch} AND ({ok('lat', 'lon')} OR {ok('lon', 'lat')}) THEN 'swap_axis'
+        WHEN {mismatch} AND {ok('lat', 'lon')} THEN 'swap_axis'
         WHEN {ok('lat', 'lon')} AND NOT {inside('lat', 'lon', MAINLAND)} AND {inside('lon', 'lat', MAINLAND)} THEN 'swap_cluster'
         WHEN {ok('lat', 'lon')} THEN 'ok' WHEN {ok('lon', 'lat')} THEN 'swap_range' ELSE 'out_of_range' END AS status FROM pts)"""
     region = "CASE " + " ".join(f"WHEN {inside('a', 'o', name)} THEN '{name}'" for name in regions.REGIONS) + " ELSE 'none' END"
+    plain_label = f"""{base}, plain AS (SELECT *, {mismatch} AS mis, CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing' WHEN {ok('lat', 'lon')} THEN 'ok'
+        WHEN {ok('lon', 'lat')} THEN 'swap_range' ELSE 'out_of_range' END AS status FROM pts)"""
+    short = lambda v: f"regexp_replace(printf('%.10f', {v}), '\\.?0+$', '')"
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    notes = f"WITH notes AS (SELECT source_id, CAST(regexp_extract(lat_raw, '^[0-9.]+') AS DOUBLE) * CASE WHEN lat_raw LIKE '%S' THEN -1 ELSE 1 END AS a, CAST(lon_raw AS DOUBLE) AS o, lat_raw NOT LIKE '%S' AS u FROM ({notebook_sql()}))"
+
+    def sign(v: str, unsigned: str, axis: str, name: str) -> str:
+        at = 0 if axis == "lat" else 2
+        lo, hi = min(b[at] for b in regions.REGIONS[name]), max(b[at + 1] for b in regions.REGIONS[name])
+        return f"({unsigned} AND NOT {v} BETWEEN {lo} AND {hi} AND -{v} BETWEEN {lo} AND {hi})"
+
+    tries = []
+    for name in regions.REGIONS:
+        fa, fo = sign("a", "u", "lat", name), sign("o", "true", "lon", name)
+        here = inside(f"(CASE WHEN {fa} THEN -abs(a) ELSE a END)", f"(CASE WHEN {fo} THEN -abs(o) ELSE o END)", name)
+        tries.append(f"SELECT source_id, '{name}' AS region, count(*) FILTER {'(' + here + ')'} AS inside, CAST(sum({fa}::INT + {fo}::INT) AS BIGINT) AS flips FROM notes GROUP BY 1")
+    tm = crs.get(3763)
+    ecc, radius, forward, _ = crs._series(tm.ellipsoid)
     return {
         "parse_points": f"{base} SELECT row_id, lat, lon FROM pts",
         "axis_mismatches": f"{base} SELECT row_id, {mismatch} AS mismatch FROM cells",
+        "metrics": f"""{label} SELECT sample, count(*) AS total, count(*) FILTER (status = 'ok' AND {inside('lat', 'lon', MAINLAND)}) AS inside,
+            count(*) FILTER (status = 'ok' AND NOT {inside('lat', 'lon', MAINLAND)}) AS outside, count(*) FILTER (status LIKE 'swap%') AS swaps,
+            count(*) FILTER (status IN ('missing', 'out_of_range')) AS invalid FROM labelled GROUP BY sample""",
+        "region_check": f"""{label} SELECT sample, {region.replace("ELSE 'none'", "ELSE NULL")} AS found, count(*) AS n, min(row_id) AS first_row
+            FROM (SELECT *, lat AS a, lon AS o FROM labelled WHERE status = 'ok' AND NOT {inside('lat', 'lon', MAINLAND)}) GROUP BY ALL""",
+        "swap_reference": f"""{plain_label}, far AS (SELECT *, sqrt((lat - 39.5) ** 2 + (lon + 8) ** 2) AS d, sqrt((lon - 39.5) ** 2 + (lat + 8) ** 2) AS e FROM plain)
+            SELECT sample, CASE WHEN mis AND status = 'ok' THEN 'swap_axis' WHEN status = 'ok' AND d > 4 AND e <= 4 THEN 'swap_cluster' ELSE status END AS status, count(*) AS n
+            FROM far GROUP BY ALL""",
+        "swap_cluster": f"""{plain_label}, good AS (SELECT * FROM plain WHERE status = 'ok'),
+            size AS (SELECT sample, greatest(0.5, greatest(max(lat) - min(lat), max(lon) - min(lon)) / 20) AS w FROM good GROUP BY sample HAVING count(*) >= 6),
+            cell AS (SELECT g.*, floor(lat / w) AS i, floor(lon / w) AS j FROM good g JOIN size USING (sample)),
+            modal AS (SELECT DISTINCT ON (sample) sample, i AS bi, j AS bj FROM (SELECT sample, i, j, count(*) AS n, min(row_id) AS r FROM cell GROUP BY ALL) ORDER BY sample, n DESC, r),
+            near AS (SELECT c.* FROM cell c JOIN modal USING (sample) WHERE abs(i - bi) <= 1 AND abs(j - bj) <= 1),
+            mid AS (SELECT sample, median(lat) AS ca, median(lon) AS co FROM near GROUP BY sample),
+            rad AS (SELECT sample, ca, co, greatest(1, quantile_cont(sqrt((lat - ca) ** 2 + (lon - co) ** 2), 0.9)) AS r FROM near JOIN mid USING (sample) GROUP BY ALL),
+            dist AS (SELECT p.*, r, sqrt((lat - ca) ** 2 + (lon - co) ** 2) AS d, sqrt((lon - ca) ** 2 + (lat - co) ** 2) AS e FROM plain p LEFT JOIN rad USING (sample)),
+            reach AS (SELECT sample, coalesce(max(d) FILTER (status = 'ok' AND d <= 3 * r), 0) AS x FROM dist GROUP BY sample)
+            SELECT sample, CASE WHEN mis AND status = 'ok' THEN 'swap_axis' WHEN status = 'ok' AND d > 3 * r AND (e <= greatest(1.5 * r, x + r) OR (e > 0 AND d >= 10 * e)) THEN 'swap_cluster' ELSE status END AS status, count(*) AS n
+            FROM dist JOIN reach USING (sample) GROUP BY ALL""",
+        "upper_median": f"{base} SELECT sample, round(quantile_cont(lat, 0.9), 6) AS q90 FROM pts WHERE lat BETWEEN -90 AND 90 GROUP BY sample",
+        "suggest_region": f"""{notes}, tried AS ({' UNION ALL '.join(tries)}), told AS (SELECT source_id, count(*) AS readable FROM notes GROUP BY 1),
+            fit AS (SELECT t.*, readable, max(CASE WHEN region = '{MAINLAND}' THEN inside END) OVER (PARTITION BY source_id) AS bar FROM tried t JOIN told USING (source_id)),
+            best AS (SELECT *, rank() OVER (PARTITION BY source_id ORDER BY inside DESC) AS k, count(*) OVER (PARTITION BY source_id, inside) AS ties FROM fit
+                WHERE region <> '{MAINLAND}' AND flips > 0 AND inside > bar AND inside >= 0.8 * readable AND readable >= 3)
+            SELECT source_id, region, inside, readable, flips FROM best WHERE k = 1 AND ties = 1""",
+        "signable": f"{notes} SELECT source_id, CAST(sum({sign('a', 'u', 'lat', 'Moçambique')}::INT + {sign('o', 'true', 'lon', 'Moçambique')}::INT) AS BIGINT) AS signable FROM notes GROUP BY 1",
+        "grid_metres": f"SELECT row_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM ({grid_sql()})",
+        "suggest_scale": f"""{base} SELECT sample, count(*) AS readable, count(*) FILTER ({inside('lat / 1000', 'lon / 1000', MAINLAND)}) AS was, count(*) FILTER ({inside('lat', 'lon', MAINLAND)}) AS inside
+            FROM pts WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY sample HAVING count(*) >= 3 AND inside > was AND inside >= 0.8 * count(*)""",
+        "sheet_counts": f"""WITH g AS (SELECT CAST(x AS DOUBLE) / 1000 AS m, CAST(y AS DOUBLE) / 1000 AS p FROM ({grid_sql()})), runs(j, i, n, c) AS (VALUES {values(sheet_index.RUNS_25)}),
+            s25 AS (SELECT CAST(n + k AS VARCHAR) AS key, i + k AS i, j FROM (SELECT *, unnest(range(c)) AS k FROM runs) UNION ALL SELECT * FROM (VALUES {values(sheet_index.SPECIAL_25)})),
+            s50(key, m0, p0, name) AS (VALUES {values(sheet_index.SHEETS_50)})
+            SELECT a.key AS at25, b.key AS at50, b.name AS at50name, count(*) AS n FROM g LEFT JOIN s25 a ON a.i = floor((m - 8) / 16) AND a.j = floor(p / 10)
+            LEFT JOIN s50 b ON b.m0 = 8 + 32 * floor((m - 8) / 32) AND b.p0 = 20 * floor(p / 20) GROUP BY ALL""",
+        "header_names": """WITH c AS (SELECT p_brand AS source_id, p_partkey - 1 AS pos, CASE WHEN p_partkey % 5 = 0 THEN 'Unnamed: ' || (p_partkey - 1) ELSE p_type END AS name FROM part),
+            k AS (SELECT *, row_number() OVER (PARTITION BY source_id, name ORDER BY pos) - 1 AS again FROM c)
+            SELECT source_id, pos, name || CASE WHEN again > 0 THEN '.' || again ELSE '' END AS name FROM k""",
+        "column_scores": f"""{base}, cols AS (SELECT sample, 1 AS i, lat_raw AS cell, unrounded_lat AS p FROM un UNION ALL SELECT sample, 2, lon_raw, unrounded_lon FROM un UNION ALL SELECT sample, 3, CAST(row_id AS VARCHAR), CAST(row_id AS DOUBLE) FROM un UNION ALL SELECT sample, 0, sample, CAST(regexp_extract(sample, '[0-9]+') AS DOUBLE) FROM un WHERE regexp_matches(sample, '[0-9]')),
+            agg AS (SELECT sample, i, count(*) AS seen, count(p) AS good, count(*) FILTER (regexp_matches(cell, '[°º''"]|[NSEWOLnsewol]\\b')) AS ang, count(*) FILTER (p = floor(p)) AS whole, max(abs(p)) AS most, list_sort(list(abs(p)) FILTER (p IS NOT NULL)) AS l
+                FROM cols WHERE cell <> '' GROUP BY ALL HAVING count(*) >= 3 AND count(p) > 0 AND count(p) >= 0.6 * count(*))
+            SELECT sample AS source_id, CAST(i AS BIGINT) AS i, round(good / seen + CASE WHEN ang / seen > 0.5 THEN 1 WHEN whole = good THEN -0.5 ELSE 0 END - CASE WHEN most > 180 THEN 1 ELSE 0 END, 6) AS score, round(l[good // 2 + 1], 6) AS median FROM agg""".replace(", cols AS", f", un AS (SELECT *, {value('lat_raw', False)} AS unrounded_lat, {value('lon_raw', False)} AS unrounded_lon FROM cells), cols AS"),
+        "converted": f"""{label}, fixed AS (SELECT row_id, CASE WHEN status LIKE 'swap%' THEN lon ELSE lat END AS a, CASE WHEN status LIKE 'swap%' THEN lat ELSE lon END AS o,
+            CASE WHEN status LIKE 'swap%' THEN CASE WHEN {ok('lon', 'lat')} THEN 'ok' WHEN {ok('lat', 'lon')} THEN 'swap_range' ELSE 'out_of_range' END ELSE status END AS status FROM labelled)
+            SELECT row_id, status, a AS Latitude_DD, o AS Longitude_DD, CASE WHEN {ok('a', 'o')} THEN 'POINT (' || {plain('o')} || ' ' || {plain('a')} || ')' END AS WKT FROM fixed""",
+        "gpx_lines": f"""{label} SELECT sample AS source_id, row_id AS pos, '<wpt lat="' || {short('lat')} || '" lon="' || {short('lon')} || '"><name>' || sample || '</name></wpt>' AS line FROM labelled WHERE status = 'ok'""",
+        "table_search": f"WITH raw AS ({survey_sql()}) SELECT row_id FROM raw WHERE contains(lower(concat_ws(' ', row_id + 1, sample, lat_raw, lon_raw)), '7° 1')",
+        "projected": f"""{base}, good AS (SELECT row_id, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lat END AS lat, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lon END AS lon FROM pts),
+            angle AS (SELECT row_id, sin(radians(lat)) AS s, radians(lon - {tm.lon_0!r}) AS l FROM good), flat AS (SELECT *, sinh(atanh(s) - {ecc!r} * atanh({ecc!r} * s)) AS t FROM angle),
+            base AS (SELECT row_id, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM flat)
+            SELECT row_id, round({tm.x_0!r} + {tm.scale * radius!r} * (eta + {' + '.join(f'{c!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)' for k, c in enumerate(forward, 1))}), 1) + 0 AS x,
+            round({tm.y_0!r} + {tm.scale!r} * ({radius!r} * (xi + {' + '.join(f'{c!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)' for k, c in enumerate(forward, 1))}) - {crs._origin(tm)!r}), 1) + 0 AS y,
+            CASE WHEN xi IS NOT NULL THEN true END AS back FROM base""",
         "status_counts": f"{label} SELECT sample, status, count(*) AS n FROM labelled GROUP BY ALL",
         "region_status": f"""{label}, fixed AS (SELECT status, CASE WHEN status LIKE 'swap%' THEN lon ELSE lat END AS a,
             CASE WHEN status LIKE 'swap%' THEN lat ELSE lon END AS o FROM labelled)

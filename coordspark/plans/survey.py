@@ -18,7 +18,7 @@ def _text(u: str, minus: str, plus: str, negative: bool) -> str:
     dms = f"CAST({degrees} AS STRING) || '° ' || CAST({minutes} AS STRING) || ''' ' || CAST({_whole(hundredths, 100)} AS STRING) || '.' || lpad(CAST({hundredths} % 100 AS STRING), 2, '0') || '\"'"
     sign = "'-' || " if negative else ""
     letter = minus if negative else plus
-    return f"""CASE k % 8
+    return f"""CASE WHEN k % 29 = 0 THEN chr(8201) || {sign}CAST({degrees} AS STRING) || '.' || {fraction} || chr(12288) ELSE CASE k % 8
         WHEN 0 THEN {sign}CAST({degrees} AS STRING) || '.' || {fraction}
         WHEN 1 THEN {sign}CAST({degrees} AS STRING) || ',' || {fraction}
         WHEN 2 THEN {dms} || ' {letter}'
@@ -26,7 +26,7 @@ def _text(u: str, minus: str, plus: str, negative: bool) -> str:
         WHEN 4 THEN '{letter} ' || {dms}
         WHEN 5 THEN {sign}{dms}
         WHEN 6 THEN CAST({degrees} AS STRING) || '.' || {fraction} || 'º{letter}'
-        ELSE CASE WHEN k % 3 = 0 THEN '' ELSE 'texto' END END"""
+        ELSE CASE WHEN k % 3 = 0 THEN '' ELSE 'texto' END END END"""
 
 
 def survey_sql(orders: str = "orders") -> str:
@@ -37,3 +37,21 @@ def survey_sql(orders: str = "orders") -> str:
       FROM (SELECT k, sample, {_text("lat_u", "S", "N", False)} AS lat_t, {_text("lon_u", "W", "E", True)} AS lon_t
             FROM (SELECT o_orderkey AS k, o_orderpriority AS sample, 36850000 + o_orderkey * 7919 % 5300000 AS lat_u,
                          9550000 - o_orderkey * 104729 % 3400000 AS lon_u FROM {orders}) a) b"""
+
+
+def grid_sql(supplier: str = "customer") -> str:
+    """row_id, source_id, x_raw, y_raw: metres of a grid with thousands and decimals in four ways."""
+    whole = lambda v: f"CAST({v} AS STRING)"
+    thousands = lambda v, sep: f"{whole(_whole(v, 1000))} || '{sep}' || lpad({whole(v + ' % 1000')}, 3, '0')"
+    def text(v: str) -> str:
+        return f"CASE k % 4 WHEN 0 THEN {whole(v)} || '.5' WHEN 1 THEN {thousands(v, '.')} || ',5' WHEN 2 THEN {thousands(v, ',')} || '.5' ELSE {thousands(v, ' ')} || ',5' END"
+
+    return f"""SELECT k AS row_id, s AS source_id, {text("x")} AS x_raw, {text("y")} AS y_raw, x + 0.5 AS x, y + 0.5 AS y
+      FROM (SELECT c_custkey AS k, c_mktsegment AS s, 80000 + c_custkey * 7919 % 260000 AS x, 10000 + c_custkey * 104729 % 540000 AS y FROM {supplier}) a"""
+
+
+def notebook_sql(customer: str = "customer") -> str:
+    """row_id, source_id, lat_raw, lon_raw: magnitudes without signs of a southern survey, one in nine with its letter."""
+    return f"""SELECT c_custkey AS row_id, c_mktsegment AS source_id,
+      CAST({_whole("(11000 + c_custkey * 7919 % 15000)", 1000)} AS STRING) || '.' || lpad(CAST((11000 + c_custkey * 7919 % 15000) % 1000 AS STRING), 3, '0') || CASE WHEN c_custkey % 9 = 0 THEN ' S' ELSE '' END AS lat_raw,
+      CAST({_whole("(31000 + c_custkey * 104729 % 9000)", 1000)} AS STRING) || '.' || lpad(CAST((31000 + c_custkey * 104729 % 9000) % 1000 AS STRING), 3, '0') AS lon_raw FROM {customer}"""

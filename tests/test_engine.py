@@ -75,7 +75,7 @@ def test_query_against_sql(spark, name):
         assert len(got)
         return
     con = duckdb.connect()
-    for t in ("orders", "customer"):
+    for t in ("orders", "customer", "part"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.execute(ORACLE[name]).df()
     columns = sorted(want.columns)
