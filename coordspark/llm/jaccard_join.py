@@ -15,8 +15,8 @@ classes have them; a set of n is indexed by its first n - ceil(3n/4) + 1 tokens,
 those no other class has need no entry. Lists are split into blocks by size.
 
 Answers are derived before they are computed. In each of ``TURNS`` rounds a class meets the
-leaders of at most ``MEET`` of its lists, in blocks whose bounds move from round to round;
-classes found linked share a component from then on, and no pair inside a component is
+leaders of at most ``MEET`` of its lists, in blocks whose bounds move from round to round; the
+leader is the class with the least tokens of its own, or any by turns. Classes found linked share a component from then on, and no pair inside a component is
 looked at again. Then the blocks that still hold different components meet: a pair of blocks
 is skipped when the least positions in it leave too few tokens for the threshold, a pair of
 entries by its own positions and sizes, and the rest is verified exactly.
@@ -133,7 +133,7 @@ def _counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
-def _met(prints: list[bytes], keys: list[bytes], lens: list[bytes]) -> pa.RecordBatch:
+def _met(prints: list[bytes], keys: list[bytes], lens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each class, how many of its fingerprints other classes have."""
     token, key = np.frombuffer(b"".join(prints), np.uint32), np.frombuffer(b"".join(keys), tx.U)
     known, row = np.unique(key, return_inverse=True)
@@ -143,22 +143,33 @@ def _met(prints: list[bytes], keys: list[bytes], lens: list[bytes]) -> pa.Record
     size = np.diff(np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))) if len(t) else np.zeros(0, np.int64)
     total = np.bincount(r[np.repeat(size > 1, size)], minlength=len(known))
     some = (total > 0) & (known != 0)
-    return _counted(known[some], total[some])
+    return known[some], total[some]
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, held = None, ([], [], [])
+    """Counts of a task's parts, added up by class before they are sent on."""
+    part, held, found, size = None, ([], [], []), [], 0
+
+    def added() -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return _counted(keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)))
+
     for batch in batches:
         for here, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not row[0]:  # counted where it was gathered
-                yield _counted(np.frombuffer(row[1], tx.U), np.frombuffer(row[2], np.uint32))
-                continue
-            if here != part:
-                yield _met(*held)
-                part, held = here, ([], [], [])
-            for one, more in zip(held, row, strict=True):
-                one.append(more)
-    yield _met(*held)
+                found.append((np.frombuffer(row[1], tx.U), np.frombuffer(row[2], np.uint32)))
+            else:
+                if here != part:
+                    found.append(_met(*held))
+                    size += len(found[-1][0])
+                    part, held = here, ([], [], [])
+                    if size > GATHER:
+                        yield added()
+                        found, size = [], 0
+                for one, more in zip(held, row, strict=True):
+                    one.append(more)
+    found.append(_met(*held))
+    yield added()
 
 
 def shared_tokens(docs: DataFrame) -> DataFrame:
@@ -227,7 +238,7 @@ def named_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def index(sets: DataFrame) -> DataFrame:
-    """The entries of sets that can link at all: token, id, n, pos, left (further entries of the set)."""
+    """The entries of sets that can link at all: token, id, n, pos, left (further entries of the set), alone (tokens of no other class)."""
     each = sets.select("id", "digest", "n", F.explode("tokens").alias("token"))
     often = written(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-tokens")
     lists = each.join(often, "token").groupBy("id", "digest").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # a set's own tokens
@@ -235,7 +246,7 @@ def index(sets: DataFrame) -> DataFrame:
     alone = F.col("n") - F.size("t")  # tokens of no other class come first and need no entry
     some = lists.where((4 * F.size("t") >= 3 * F.col("n")) & (first > alone)).select("id", "n", alone.alias("alone"), F.slice("t", F.lit(1), first - alone).alias("t"))
     entries = some.select("id", "n", "alone", F.size("t").alias("m"), F.posexplode("t").alias("k", "x"))
-    made = written(entries.select("x.token", "id", "n", (F.col("alone") + F.col("k")).alias("pos"), (F.col("m") - F.col("k")).alias("left")), "jaccard-index")
+    made = written(entries.select("x.token", "id", "n", (F.col("alone") + F.col("k")).alias("pos"), (F.col("m") - F.col("k")).alias("left"), "alone"), "jaccard-index")
     discard(often)
     return made
 
@@ -388,7 +399,9 @@ def links(sets: DataFrame) -> DataFrame:
     for turn in range(TURNS):
         here = _labelled(live, labels).withColumn("block", _sized(F.col("n"), turn))
         here = written(here, "jaccard-live") if labels is not None else here
-        best = F.min_by(F.struct("id", "n", "pos", "comp"), F.xxhash64(F.lit(turn), "id"))
+        # of near copies the one with the least of its own is nearest to all others
+        own = F.col("alone") / F.col("n") if turn % 2 == 0 else F.lit(0.0)
+        best = F.min_by(F.struct("id", "n", "pos", "comp"), F.struct(own, F.xxhash64(F.lit(turn), "id")))
         leaders = here.groupBy("token", "block").agg(best.alias("to"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "block", "to")
         # the lists of a set's commonest indexed tokens
         met = here.where(F.col("left") <= MEET).join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
