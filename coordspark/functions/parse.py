@@ -87,9 +87,8 @@ def parse_projected(text: Column) -> Column:
     """Metres: the last of point and comma is the decimal sign and the other one marks thousands; null where the text isn't a finite number."""
     t = F.regexp_replace(text.cast("string"), _SPACES, "")
     both = t.contains(".") & t.contains(",")
-    comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
-    as_decimal = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = F.when(both & comma_last, as_decimal).when(both, F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
+    last = F.replace(F.regexp_replace(t, "[.,](?=.*[.,])", ""), F.lit(","), F.lit("."))
+    plain = F.when(both, last).otherwise(F.replace(t, F.lit(","), F.lit(".")))
     value = F.when(plain.rlike(_METRES), plain.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 

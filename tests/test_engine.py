@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def test_round_and_safe_cells(spark):
 def test_transform_round_trip(spark, code, lon):
     df = crs.transform(spark.createDataFrame([(lon, 32.7), (None, 1.0)], "lon double, lat double"), "lon", "lat", 4326, code, ("x", "y"))
     row, none = crs.transform(df, "x", "y", code, 4326, ("lon2", "lat2")).collect()
-    assert abs(row.lon2 - lon) < 1e-8 and abs(row.lat2 - 32.7) < 1e-8 and none.lon2 is None
+    # heights are dropped between ways through a shift: tens of metres of height are some millimetres of place, 7e-8 degrees are 7.8 mm
+    most = 7e-8 if crs.get(code).shift else 1e-8
+    assert abs(row.lon2 - lon) < most and abs(row.lat2 - 32.7) < most and none.lon2 is None
 
 
 def test_utm_known_point(spark):
@@ -80,7 +83,7 @@ def test_query_against_sql(spark, name):
     want = con.execute(ORACLE[name]).df()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
-    plain = lambda df: sorted(repr(tuple("" if v is None or v != v else v if isinstance(v, str) else float(v) for v in r)) for r in df[columns].values.tolist())
+    plain = lambda df: sorted(repr(tuple("" if pd.isna(v) else v if isinstance(v, str) else float(v) for v in r)) for r in df[columns].values.tolist())
     assert plain(got) == plain(want)
 
 
