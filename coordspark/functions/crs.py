@@ -200,12 +200,11 @@ def _to_space(ellipsoid: str, lat: Column, lon: Column) -> tuple[Column, ...]:
 
 
 def _moved(shift: tuple[float, ...], back: bool, *xyz: Column) -> tuple[Column, ...]:
-    """The seven-parameter shift by position vectors, or its exact inverse."""
+    """The seven-parameter shift by position vectors, with rotations as small angles; the way back turns by the transpose, as the published answers do."""
     rx, ry, rz = (radians(r / 3600) for r in shift[3:6])
-    m = (1 + shift[6] * 1e-6) * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]])
-    add = np.array(shift[:3])
+    turn, scale, add = np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]]), 1 + shift[6] * 1e-6, np.array(shift[:3])
+    m = turn.T / scale if back else turn * scale
     if back:
-        m = np.linalg.inv(m)
         add = -m @ add
     return tuple(float(add[i]) + sum((float(m[i, j]) * xyz[j] for j in range(3)), F.lit(0.0)) for i in range(3))
 

@@ -51,6 +51,21 @@ def test_transform_round_trip(spark, code, lon):
     assert abs(row.lon2 - lon) < most and abs(row.lat2 - 32.7) < most and none.lon2 is None
 
 
+#: A published answer for each pair of systems, to be met within 1.5 mm.
+ANSWERS = (
+    (20790, 3763, 197621.439, 380202.385, -2378.864, 80201.123), (27493, 3763, 40334.579, 176227.904, 40330.899, 176227.119), (2188, 5014, 663396.157, 4393423.011, 663019.191, 4393489.245),
+    (5014, 2188, 662191.045, 4396175.972, 662568.012, 4396109.761), (2189, 5015, 352999.934, 4275598.105, 353101.346, 4275513.992), (5015, 2189, 416817.566, 4320063.035, 416716.863, 4320147.555),
+    (2190, 5015, 634011.756, 4184768.285, 634042.589, 4184805.075), (5015, 2190, 668057.227, 4091121.588, 668026.647, 4091083.988), (2942, 5016, 375437.946, 3660068.227, 375069.516, 3660421.274),
+    (5016, 2942, 324832.947, 3617079.577, 325200.709, 3616726.693),
+)
+
+
+@pytest.mark.parametrize("source, target, x, y, want_x, want_y", ANSWERS)
+def test_transform_answers(spark, source, target, x, y, want_x, want_y):
+    row = crs.transform(spark.createDataFrame([(x, y)], "x double, y double"), "x", "y", source, target, mode="helmert").first()
+    assert abs(row.x_out - want_x) < 1.5e-3 and abs(row.y_out - want_y) < 1.5e-3
+
+
 def test_utm_known_point(spark):
     # on the central meridian the easting is the false easting
     row = crs.transform(spark.createDataFrame([(-9.0, 0.0)], "lon double, lat double"), "lon", "lat", 4326, 32629, ("x", "y")).first()
