@@ -79,6 +79,7 @@ def convert(table: DataFrame, first: str, second: str, *keys: str, system: int |
     rounded = rounded.withColumns({c: formatting.round_half_even(F.col(c), decimals) for c in ("lat", "lon")})
     rounded = written(rounded, "converted")  # statuses name lat and lon many times: each cell is read once
     labelled = swaps.detect(rounded, *keys, region=region, reference=reference, radius=radius, mismatch=F.col("mismatch"))
+    labelled = written(labelled, "labelled")
     exact = labelled.withColumns({"lat": F.col("exact_lat"), "lon": F.col("exact_lon")}).drop("exact_lat", "exact_lon", "mismatch")
     return derived(exact, decimals, dms, target, mode)
 

@@ -68,7 +68,7 @@ def sheet_columns(located: DataFrame) -> DataFrame:
 def military_km(points: DataFrame, lat: str = "lat", lon: str = "lon", mode: str = "helmert") -> DataFrame:
     """The points with m, p, kilometres of the military grid."""
     there = crs.transform(points, lon, lat, 4326, MILITARY, ("m", "p"), mode=mode)
-    return there.withColumns({"m": F.col("m") / 1000, "p": F.col("p") / 1000})
+    return written_table(there.withColumns({"m": F.col("m") / 1000, "p": F.col("p") / 1000}), "military-km")
 
 
 def distance(m: Column, p: Column, boxes: Column) -> Column:
