@@ -16,8 +16,9 @@ those no other class has need no entry. Lists are split into blocks by size.
 
 Answers are derived before they are computed. In each of ``TURNS`` rounds a class meets the
 leaders of at most ``MEET`` of its lists, in blocks whose bounds move from round to round; the
-leader is the class with the least tokens of its own, or any by turns. Classes found linked share a component from then on, and no pair inside a component is
-looked at again. Then the blocks that still hold different components meet: a pair of blocks
+leader is the class with the least tokens of its own, or any by turns. Classes found linked
+share a component from then on, and no pair inside a component is looked at again. Then the
+blocks that still hold different components meet: a pair of blocks
 is skipped when the least positions in it leave too few tokens for the threshold, a pair of
 entries by its own positions and sizes, and the rest is verified exactly.
 
@@ -252,7 +253,7 @@ def index(sets: DataFrame) -> DataFrame:
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Sizes fit, and what follows the two positions can hold 3/7 of both sets."""
+    """Sizes fit, and what is left of the two sets after so many tokens can hold 3/7 of both."""
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - pos, m - at) >= 3 * (n + m))
 
 
@@ -401,10 +402,10 @@ def links(sets: DataFrame) -> DataFrame:
         here = written(here, "jaccard-live") if labels is not None else here
         # of near copies the one with the least of its own is nearest to all others
         own = F.col("alone") / F.col("n") if turn % 2 == 0 else F.lit(0.0)
-        best = F.min_by(F.struct("id", "n", "pos", "comp"), F.struct(own, F.xxhash64(F.lit(turn), "id")))
+        best = F.min_by(F.struct("id", "n", "alone", "comp"), F.struct(own, F.xxhash64(F.lit(turn), "id")))
         leaders = here.groupBy("token", "block").agg(best.alias("to"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "block", "to")
-        # the lists of a set's commonest indexed tokens
-        met = here.where(F.col("left") <= MEET).join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos")))
+        # the lists of a set's commonest indexed tokens; the list need not be the first that both are in, so its position bounds nothing, only tokens of no other class do
+        met = here.where(F.col("left") <= MEET).join(leaders, ["token", "block"]).where((F.col("comp") != F.col("to.comp")) & _may_link(F.col("n"), F.col("alone"), F.col("to.n"), F.col("to.alone")))
         found.append(verified(met.select(F.col("id").alias("a"), F.col("to.id").alias("b")), sets))
         if labels is not None:
             discard(here, labels)

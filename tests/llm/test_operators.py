@@ -115,6 +115,18 @@ def test_jaccard_link_counts_in_blocks(spark):
         assert sum(r.other is not None for r in found) == sum(want[k] for k in want if k % 3 == 0)
 
 
+def test_jaccard_leaders_join_a_group(spark, monkeypatch):
+    """Near copies of one text link through it; the pairs to verify grow with the group, not with its square."""
+    words = [f"w{k}" for k in range(100)]
+    edited = lambda k: [f"e{k}-{j}" if j % 100 in (k % 97, (k * 7 + 31) % 97) else w for j, w in enumerate(words)]
+    data = [(0, " ".join(words))] + [(k, " ".join(edited(k))) for k in range(1, 200)]
+    seen, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, sets: seen.append(pairs.distinct().count()) or verified(pairs, sets))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string"), with_links=False).collect()}
+    assert got == brute_components(dict(data)) and {c for _, c in got.values()} == {0}
+    assert sum(seen) <= 2 * jaccard_join.MEET * jaccard_join.TURNS * len(data) and seen[-1] < len(data)
+
+
 def test_mixing(spark):
     docs = [(i, "w " * 50, "big" if i < 600 else f"s{i % 4}") for i in range(1000)] + [(5000, None, "s0"), (5001, "", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
