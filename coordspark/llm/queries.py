@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import chat, exact_topk, html_text, jaccard_join, licenses, mixing, packing, quality_classifier, quality_rules, warc
+from coordspark.llm import ball_kmeans, chat, exact_topk, hard_negatives, html_text, jaccard_join, licenses, long_repeats, mixing, packing, quality_classifier, quality_rules, warc
 from coordspark.llm.tables import table
 
 
@@ -66,5 +66,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("conv_id", chat.read_back("formatted", "spans").alias("r")).select("conv_id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_license_scan, op4_html_extraction, op5_packing, op6_quality_classifier, op7_exact_topk, op8_warc, op9_quality_rules, op10_chat)}
-ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", ball_kmeans.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = long_repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = F.length("repeats.kept").cast("long")
+    return found.select("doc_id", "repeats.n_bytes", (F.col("repeats.n_bytes") - left).alias("n_removed"), F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_license_scan, op4_html_extraction, op5_packing, op6_quality_classifier, op7_exact_topk, op8_warc, op9_quality_rules, op10_chat, op11_hard_negatives, op12_ball_kmeans, op13_long_repeats)}
+ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_ball_kmeans": ball_kmeans.oracle_sql()}
