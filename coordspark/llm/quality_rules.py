@@ -163,7 +163,8 @@ def quality(text: Column, most_lost: float = MOST_LOST, with_text: bool = True)
         columns = [pa.concat_arrays([pa.array(p[k], t) for p in parts]) if parts else pa.array([], t) for k, (_, t) in enumerate(_FIELDS)]
         return pa.StructArray.from_arrays(columns, [name for name, _ in _FIELDS])
 
-    return rules(text)
+    # a filter on the verdict would else have the rules run a second time
+    return rules.asNondeterministic()(text)
 
 
 def clean(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST, result: str = "quality_rules") -> DataFrame:
