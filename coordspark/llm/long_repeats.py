@@ -28,6 +28,7 @@ gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from coordspark.llm.run_index import repeated
 from coordspark.llm.tables import discard, written
 
 LENGTH, GRAM = 400, 96
-CHUNK, BLOCK, GROUP = 4 << 20, 1 << 20, 256 << 10
+CHUNK, BLOCK, GROUP = 256 << 10, 512 << 10, 128 << 10
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 SEGMENTS = "row long, start long, n int, key long, seg binary, met int"
@@ -59,14 +60,17 @@ def gram_sizes(length: int, gram: int) -> list[int]:
     return out
 
 
+@lru_cache(2)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A number for the gram at each position, the same wherever it stands."""
     n = len(data)
-    powers = np.full(n + 1, BASE, np.uint64)
-    powers[0] = 1
-    back = np.full(n + 1, BACK, np.uint64)
-    back[0] = 1
-    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    powers, back = (_powers(base, 1 << (n - 1).bit_length()) for base in (BASE, BACK))
     upto = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], dtype=np.uint64, out=upto[1:])
     x = (upto[gram:] - upto[:-gram]) * back[: n - gram + 1]
