@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The most rows of a small frame that is sent to all tasks.
+SMALL = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +22,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """The frame, to be sent to all tasks if it has few rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

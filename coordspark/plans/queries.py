@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import crs, formatting, parse
 from coordspark.operators import columns, convert, quantiles, regions, sheet_index, sheets, swaps
-from coordspark.operators.tables import written
-from coordspark.plans.survey import grid_sql, notebook_sql, survey_sql
+from coordspark.operators.tables import shared_dir, written
+from coordspark.plans.survey import field_book_sql, grid_sql, notebook_sql, survey_sql
 from coordspark.sinks import documents
+from coordspark.sources import csv
 
 MAINLAND = "Portugal mainland"
 
@@ -181,11 +184,25 @@ def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.search(survey(spark, sf_dir), "7° 1").select("row_id")
 
 
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field books written as separated text, a file for each segment, and read again in splits; notes are quoted where they must be, seconds marks never."""
+    book = customers(spark, sf_dir, field_book_sql)
+    quoted = F.when(F.col("note").rlike('^"|[;\r\n]') | (F.col("k") % 7 == 0), F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("note"))
+    line = F.concat(F.concat_ws(";", "n", "lat", "lon", quoted), F.when(F.col("k") % 11 == 0, "\n").otherwise(""))  # an empty line now and then
+    tops = book.select("source_id").distinct().select("source_id", F.lit(-1).cast("long").alias("k"), F.lit("n;lat;lon;note").alias("value"))
+    folder = f"{shared_dir(spark)}/field-books-{uuid.uuid4().hex}"
+    lines = book.select("source_id", "k", line.alias("value")).unionAll(tops)
+    lines.repartition("source_id").sortWithinPartitions("source_id", "k").select("source_id", "value").write.partitionBy("source_id").text(folder)
+    rows, _ = csv.read(spark, f"{folder}/*/*")
+    segment = F.regexp_extract("source_id", "source_id=([^/]*)", 1)
+    return csv.as_columns(rows, ["n", "lat", "lon", "note"]).withColumn("source_id", segment)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
-        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search,
+        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows,
     )
 }
 
@@ -292,6 +309,7 @@ def _oracle() -> dict[str, str]:
             CASE WHEN status LIKE 'swap%' THEN CASE WHEN {ok('lon', 'lat')} THEN 'ok' WHEN {ok('lat', 'lon')} THEN 'swap_range' ELSE 'out_of_range' END ELSE status END AS status FROM labelled)
             SELECT row_id, status, a AS Latitude_DD, o AS Longitude_DD, CASE WHEN {ok('a', 'o')} THEN 'POINT (' || {plain('o')} || ' ' || {plain('a')} || ')' END AS WKT FROM fixed""",
         "gpx_lines": f"""{label} SELECT sample AS source_id, row_id AS pos, '<wpt lat="' || {short('lat')} || '" lon="' || {short('lon')} || '"><name>' || sample || '</name></wpt>' AS line FROM labelled WHERE status = 'ok'""",
+        "csv_rows": f"SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS row_id, n, lat, lon, note FROM ({field_book_sql()})",
         "table_search": f"WITH raw AS ({survey_sql()}) SELECT row_id FROM raw WHERE contains(lower(concat_ws(' ', row_id + 1, sample, lat_raw, lon_raw)), '7° 1')",
         "projected": f"""{base}, good AS (SELECT row_id, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lat END AS lat, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lon END AS lon FROM pts),
             angle AS (SELECT row_id, sin(radians(lat)) AS s, radians(lon - {tm.lon_0!r}) AS l FROM good), flat AS (SELECT *, sinh(atanh(s) - {ecc!r} * atanh({ecc!r} * s)) AS t FROM angle),

@@ -55,3 +55,14 @@ def notebook_sql(customer: str = "customer") -> str:
     return f"""SELECT c_custkey AS row_id, c_mktsegment AS source_id,
       CAST({_whole("(11000 + c_custkey * 7919 % 15000)", 1000)} AS STRING) || '.' || lpad(CAST((11000 + c_custkey * 7919 % 15000) % 1000 AS STRING), 3, '0') || CASE WHEN c_custkey % 9 = 0 THEN ' S' ELSE '' END AS lat_raw,
       CAST({_whole("(31000 + c_custkey * 104729 % 9000)", 1000)} AS STRING) || '.' || lpad(CAST((31000 + c_custkey * 104729 % 9000) % 1000 AS STRING), 3, '0') AS lon_raw FROM {customer}"""
+
+
+def field_book_sql(customer: str = "customer") -> str:
+    """source_id, k and the cells of a field book: angles whose seconds marks are quotes, notes with quotes, separators and line ends."""
+    note = "CASE k % 5 WHEN 0 THEN 'a \"b\"; c' WHEN 1 THEN 'x' || chr(10) || chr(10) || 'y' WHEN 2 THEN '' WHEN 3 THEN 'm\"n' ELSE chr(13) || chr(10) || ';' END"
+
+    def angle(u: str) -> str:
+        return f"CAST({u} % 80 AS STRING) || '° ' || CAST({u} % 60 AS STRING) || ''' ' || CAST({u} % 59 AS STRING) || '\"'"
+
+    return f"""SELECT c_mktsegment AS source_id, k, CAST(k AS STRING) AS n, {angle('k * 7919')} AS lat, {angle('k * 104729')} || ' W' AS lon, {note} AS note
+      FROM (SELECT c_custkey AS k, c_mktsegment FROM {customer}) a"""

@@ -32,10 +32,20 @@ def decoded(content: Column) -> Column:
     out = None
     for mark, charset in MARKS:
         here = F.hex(F.substring(content, 1, len(mark) // 2)) == mark
-        text = F.decode(rest(len(mark)), charset)
+        text = as_text(rest(len(mark)), charset)
         out = F.when(here, text) if out is None else out.when(here, text)
-    western = F.translate(F.decode(content, "ISO-8859-1"), "".join(chr(0x80 + k) for k in range(32)), HIGH)
-    return out.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(western)
+    return out.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(as_text(content, "windows-1252"))
+
+
+def as_text(raw: Column, charset: str) -> Column:
+    """Bytes of a known charset as text; a mark at the start stays."""
+    if charset == "UTF-8":
+        return raw.cast("string")
+    if charset.startswith("UTF-32"):  # told by a mark only
+        return F.ltrim(F.decode(F.concat(F.unhex(F.lit("FFFE0000" if charset.endswith("LE") else "0000FEFF")), raw), "UTF-32"), F.lit("\ufeff"))
+    if charset != "windows-1252":
+        return F.decode(raw, charset)
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(chr(0x80 + k) for k in range(32)), HIGH)
 
 
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
