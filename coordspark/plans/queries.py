@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import crs, formatting, parse
-from coordspark.operators import columns, convert, quantiles, regions, sheet_index, sheets, swaps
+from coordspark.operators import columns, convert, grids, quantiles, regions, sheet_index, sheets, swaps
 from coordspark.operators.tables import shared_dir, written
-from coordspark.plans.survey import field_book_sql, grid_sql, notebook_sql, survey_sql
+from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, survey_sql
 from coordspark.sinks import documents
-from coordspark.sources import csv
+from coordspark.sources import csv, ntv2
 
 MAINLAND = "Portugal mainland"
 
@@ -198,11 +199,27 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.as_columns(rows, ["n", "lat", "lon", "note"]).withColumn("source_id", segment)
 
 
+#: An old datum in degrees, whose points a grid moves, and seven parameters where it doesn't reach.
+OLD = crs.System(0, "intl", False, shift=crs.get(20790).shift, needs_grid=True)
+
+
+def grid_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey's points moved from an old datum by a grid of two sub-grids, with the seven parameters outside of it."""
+    heads = []
+    for name, parent, south, east, step, rows, columns_ in SUB_GRIDS:
+        i, j = np.mgrid[:rows, :columns_]
+        heads.append((name, parent, south * 3600, east * 3600, step, step, np.stack([node_shift(i, j, 0), node_shift(i, j, 1)], axis=2)))
+    grid = ntv2.parsed(spark.createDataFrame([(bytearray(ntv2.encoded(heads)),)], "content binary"))
+    good = points(spark, sf_dir).where(parse.valid_pair(F.col("lat"), F.col("lon"))).select("row_id", "lon", "lat")
+    moved = grids.transform(good, "lon", "lat", OLD, 4326, {OLD.code: grid}, ("lon2", "lat2"), how="way")
+    return moved.select("row_id", "way", F.round("lon2", 6).alias("lon2"), F.round("lat2", 6).alias("lat2"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
-        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows,
+        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift,
     )
 }
 
@@ -259,6 +276,27 @@ def _oracle() -> dict[str, str]:
         fa, fo = sign("a", "u", "lat", name), sign("o", "true", "lon", name)
         here = inside(f"(CASE WHEN {fa} THEN -abs(a) ELSE a END)", f"(CASE WHEN {fo} THEN -abs(o) ELSE o END)", name)
         tries.append(f"SELECT source_id, '{name}' AS region, count(*) FILTER {'(' + here + ')'} AS inside, CAST(sum({fa}::INT + {fo}::INT) AS BIGINT) AS flips FROM notes GROUP BY 1")
+
+    def sub_grid(k: int) -> str:
+        """Of points u steps north and v steps west of a sub-grid's corner, the shifts in degrees; null outside."""
+        _, _, south, east, step, rows, columns_ = SUB_GRIDS[k]
+        u, v = f"((lat * 3600 - {south * 3600}) / {step})", f"((lon * -3600 - {east * 3600}) / {step})"
+        i, j = f"CAST(least(floor({u}), {rows - 2}) AS BIGINT)", f"CAST(least(floor({v}), {columns_ - 2}) AS BIGINT)"
+        at = lambda axis, di, dj: node_shift(f"i + {di}", f"j + {dj}", axis)
+        mix = lambda axis: f"((1 - du) * ((1 - dv) * {at(axis, 0, 0)} + dv * {at(axis, 0, 1)}) + du * ((1 - dv) * {at(axis, 1, 0)} + dv * {at(axis, 1, 1)}))"
+        return f"""(SELECT row_id, {k} AS k, lat + {mix(0)} / 3600 AS lat2, lon - {mix(1)} / 3600 AS lon2 FROM
+            (SELECT *, {u} - i AS du, {v} - j AS dv FROM (SELECT *, {i} AS i, {j} AS j FROM good WHERE {u} BETWEEN 0 AND {rows - 1} AND {v} BETWEEN 0 AND {columns_ - 1})))"""
+
+    (big, flat), (out_big, out_flat) = crs.ELLIPSOIDS[OLD.ellipsoid], crs.ELLIPSOIDS["WGS84"]
+    sq = (2 - 1 / flat) / flat
+    out_sq, out_small = (2 - 1 / out_flat) / out_flat, out_big * (1 - 1 / out_flat)
+    tx, ty, tz, rx, ry, rz = (*OLD.shift[:3], *(float(np.radians(r / 3600)) for r in OLD.shift[3:6]))
+    more = 1 + OLD.shift[6] * 1e-6
+    helmert = f"""space AS (SELECT row_id, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * {1 - sq!r} * sin(radians(lat)) AS z
+            FROM (SELECT *, {big!r} / sqrt(1 - {sq!r} * sin(radians(lat)) ** 2) AS n FROM good)),
+        turned AS (SELECT row_id, {tx!r} + {more!r} * (x - {rz!r} * y + {ry!r} * z) AS x, {ty!r} + {more!r} * ({rz!r} * x + y - {rx!r} * z) AS y, {tz!r} + {more!r} * (z - {ry!r} * x + {rx!r} * y) AS z FROM space),
+        aux AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {out_big!r}, sqrt(x * x + y * y) * {out_small!r}) AS t FROM turned),
+        seven AS (SELECT row_id, degrees(atan2(y, x)) AS lon2, degrees(atan2(z + {out_sq / (1 - out_sq) * out_small!r} * sin(t) ** 3, p - {out_sq * out_big!r} * cos(t) ** 3)) AS lat2 FROM aux)"""
     tm = crs.get(3763)
     ecc, radius, forward, _ = crs._series(tm.ellipsoid)
     return {
@@ -309,6 +347,8 @@ def _oracle() -> dict[str, str]:
             CASE WHEN status LIKE 'swap%' THEN CASE WHEN {ok('lon', 'lat')} THEN 'ok' WHEN {ok('lat', 'lon')} THEN 'swap_range' ELSE 'out_of_range' END ELSE status END AS status FROM labelled)
             SELECT row_id, status, a AS Latitude_DD, o AS Longitude_DD, CASE WHEN {ok('a', 'o')} THEN 'POINT (' || {plain('o')} || ' ' || {plain('a')} || ')' END AS WKT FROM fixed""",
         "gpx_lines": f"""{label} SELECT sample AS source_id, row_id AS pos, '<wpt lat="' || {short('lat')} || '" lon="' || {short('lon')} || '"><name>' || sample || '</name></wpt>' AS line FROM labelled WHERE status = 'ok'""",
+        "grid_shift": f"""{base}, good AS (SELECT row_id, lat, lon FROM pts WHERE {ok('lat', 'lon')}), moved AS (SELECT row_id, max_by(lat2, k) AS lat2, max_by(lon2, k) AS lon2 FROM ({sub_grid(0)} UNION ALL {sub_grid(1)}) GROUP BY 1), {helmert}
+            SELECT s.row_id, CASE WHEN m.row_id IS NULL THEN 'helmert' ELSE 'grid' END AS way, round(coalesce(m.lon2, s.lon2), 6) AS lon2, round(coalesce(m.lat2, s.lat2), 6) AS lat2 FROM seven s LEFT JOIN moved m USING (row_id)""",
         "csv_rows": f"SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS row_id, n, lat, lon, note FROM ({field_book_sql()})",
         "table_search": f"WITH raw AS ({survey_sql()}) SELECT row_id FROM raw WHERE contains(lower(concat_ws(' ', row_id + 1, sample, lat_raw, lon_raw)), '7° 1')",
         "projected": f"""{base}, good AS (SELECT row_id, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lat END AS lat, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lon END AS lon FROM pts),

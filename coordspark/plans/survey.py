@@ -66,3 +66,13 @@ def field_book_sql(customer: str = "customer") -> str:
 
     return f"""SELECT c_mktsegment AS source_id, k, CAST(k AS STRING) AS n, {angle('k * 7919')} AS lat, {angle('k * 104729')} || ' W' AS lon, {note} AS note
       FROM (SELECT c_custkey AS k, c_mktsegment FROM {customer}) a"""
+
+
+#: Sub-grids of a made-up grid of shifts: name, parent, south and east in degrees (east to the west), step in seconds, rows, columns.
+SUB_GRIDS = (("COARSE", "NONE", 37.0, 6.5, 900.0, 17, 11), ("FINE", "COARSE", 38.0, 8.0, 180.0, 21, 21))
+
+
+def node_shift(i, j, axis: int):
+    """The shift of a node in seconds, as a short float; for arrays and SQL alike."""
+    a, b = ((7, 3), (5, 11))[axis]
+    return f"CAST(CAST((({i}) * {a} + ({j}) * {b}) % 32 AS DOUBLE) / 7 - 2 AS REAL)::DOUBLE" if isinstance(i, str) else (i * a + j * b) % 32 / 7 - 2
