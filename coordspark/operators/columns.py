@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coordspark.functions.parse import blank, looks_angular, parse_coordinate
-from coordspark.operators.quantiles import at_ranks
+from coordspark.operators.quantiles import at_ranks, upper_median
 from coordspark.operators.regions import REGIONS
+from coordspark.operators.tables import written
 
 #: Names of latitudes and longitudes in the order tried, and of a grid's northings and eastings.
 LAT_NAMES = ("latitude", "lat", "coordenadas x", "latitude x", "coord_lat", "lat_dms", "lat_gms", "y", "y_dd", "lat_y")
@@ -58,7 +59,8 @@ def named_column(names: Column, candidates: tuple[str, ...]) -> Column:
 def scores(tables: DataFrame) -> DataFrame:
     """How much each column looks like coordinates: source_id, i, score, median (of magnitudes, the upper of the middle two)."""
     cells = tables.select("source_id", F.posexplode("cells").alias("i", "cell")).where(~blank(F.col("cell")))
-    read = cells.select("source_id", "i", looks_angular(F.col("cell")).alias("angular"), parse_coordinate(F.col("cell")).alias("p"))
+    # each cell is read once for all that follows
+    read = written(cells.select("source_id", "i", looks_angular(F.col("cell")).alias("angular"), parse_coordinate(F.col("cell")).alias("p")), "column-cells")
     size = F.abs("p")
     found = read.groupBy("source_id", "i").agg(
         F.count("*").alias("seen"), F.count("p").alias("good"), F.count_if("angular").alias("angular"),
@@ -67,8 +69,8 @@ def scores(tables: DataFrame) -> DataFrame:
     rate = F.col("good") / F.col("seen")
     kind = F.when(F.col("angular") / F.col("seen") > 0.5, 1.0).when(F.col("whole") == F.col("good"), -0.5).otherwise(0.0)
     score = rate + kind - F.when(F.col("most") > MOST_DEGREES, 1.0).otherwise(0.0)
-    middle = at_ranks(read.select("source_id", "i", size.alias("v")), ["source_id", "i"], found.select("source_id", "i", F.floor(F.col("good") / 2).alias("rank")))
-    return found.select("source_id", "i", score.alias("score")).join(middle.select("source_id", "i", F.col("v").alias("median")), ["source_id", "i"])
+    middle = at_ranks(read.select("source_id", "i", size.alias("v")), ["source_id", "i"], upper_median)
+    return found.select("source_id", "i", score.alias("score")).join(middle.select("source_id", "i", F.get("at", F.lit(0)).alias("median")), ["source_id", "i"])
 
 
 def _span(region: str, axis: str) -> tuple[float, float]:

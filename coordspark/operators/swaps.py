@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from coordspark.functions.parse import valid_pair
 from coordspark.operators.quantiles import quantile
 from coordspark.operators.regions import classify
-from coordspark.operators.tables import written
+from coordspark.operators.tables import discard, fitted, written
 
 #: The least points in range, the size of cells, the least radius, and how far is away and back.
 LEAST_POINTS, LEAST_CELL, CELLS, LEAST_RADIUS = 6, 0.5, 20.0, 1.0
@@ -33,18 +33,21 @@ def by_reference(points: DataFrame, reference: tuple[float, float], radius: floa
 
 
 def dense_centre(points: DataFrame, *keys: str) -> DataFrame:
-    """Each key's densest cluster of points in range: at, on, radius; the input has row_id, lat, lon."""
+    """Each key's densest cluster of points in range: at, on, radius; the input has row_id, lat, lon and is read several times."""
     key = list(keys)
-    good = written(points.select(*key, "row_id", "lat", "lon"), "cluster-points").where(valid_pair(F.col("lat"), F.col("lon")))
+    good = points.select(*key, "row_id", "lat", "lon").where(valid_pair(F.col("lat"), F.col("lon")))
     span = F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon"))
     cells = good.groupBy(*key).agg(F.count("*").alias("n"), F.greatest(F.lit(LEAST_CELL), span / CELLS).alias("cell")).where(F.col("n") >= LEAST_POINTS)
-    placed = good.join(cells.select(*key, "cell"), key).withColumns({"i": F.floor(F.col("lat") / F.col("cell")), "j": F.floor(F.col("lon") / F.col("cell"))})
-    counts = placed.groupBy(*key, "i", "j").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
-    modal = counts.groupBy(*key).agg(F.max_by(F.struct("i", "j"), F.struct("n", -F.col("first_row"))).alias("best"))
-    members = placed.join(modal, key).where((F.abs(F.col("i") - F.col("best.i")) <= 1) & (F.abs(F.col("j") - F.col("best.j")) <= 1))
-    at = quantile(members.select(*key, F.col("lat").alias("v")), key, 0.5, "at")
-    on = quantile(members.select(*key, F.col("lon").alias("v")), key, 0.5, "on")
-    centre = at.join(on, key)
+    cells = fitted(written(cells.select(*key, "cell"), "cluster-cells"))
+    at_cell = {"i": F.floor(F.col("lat") / F.col("cell")), "j": F.floor(F.col("lon") / F.col("cell"))}
+    counts = good.join(cells, key).withColumns(at_cell).groupBy(*key, "cell", "i", "j").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    modal = counts.groupBy(*key, "cell").agg(F.max_by(F.struct("i", "j"), F.struct("n", -F.col("first_row"))).alias("best"))
+    placed = good.join(fitted(written(modal, "cluster-modal")), key).withColumns(at_cell)
+    members = placed.where((F.abs(F.col("i") - F.col("best.i")) <= 1) & (F.abs(F.col("j") - F.col("best.j")) <= 1)).select(*key, "lat", "lon")
+    # both medians at once
+    sides = members.select(*key, F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("lat", "lon")))).alias("x")).select(*key, "x.side", "x.v")
+    middle = quantile(sides, [*key, "side"], 0.5, "m").groupBy(*key).agg(F.max(F.when(F.col("side") == "lat", F.col("m"))).alias("at"), F.max(F.when(F.col("side") == "lon", F.col("m"))).alias("on"))
+    centre = fitted(written(middle, "cluster-middles"))
     away = members.join(centre, key).select(*key, _distance(F.col("lat"), F.col("lon"), F.col("at"), F.col("on")).alias("v"))
     return centre.join(quantile(away, key, 0.9, "p90"), key).select(*key, "at", "on", F.greatest(F.lit(LEAST_RADIUS), F.col("p90")).alias("radius"))
 
@@ -56,11 +59,13 @@ def by_cluster(points: DataFrame, *keys: str, mismatch: Column | None = None) ->
     """
     key, columns = list(keys), points.columns
     lat, lon = F.col("lat"), F.col("lon")
-    d_as, d_sw = _distance(lat, lon, F.col("at"), F.col("on")), _distance(lon, lat, F.col("at"), F.col("on"))
     light = written(points.select(*key, "row_id", "lat", "lon"), "cluster-points")
-    centres = written(dense_centre(light, *keys), "cluster-centres")
+    centres = fitted(written(dense_centre(light, *keys), "cluster-centres"))
+    d_as = _distance(lat, lon, F.col("at"), F.col("on"))
     extent = light.where(valid_pair(lat, lon)).join(centres, key).where(d_as <= AWAY * F.col("radius")).groupBy(*key).agg(F.max(d_as).alias("extent"))
     decided = centres.join(extent, key, "left").select(*key, F.struct("at", "on", "radius", F.coalesce("extent", F.lit(0.0)).alias("extent")).alias("cluster"))
+    decided = fitted(written(decided, "cluster-decided"))
+    discard(light)
     c = lambda name: F.col(f"cluster.{name}")
     d_as, d_sw = _distance(lat, lon, c("at"), c("on")), _distance(lon, lat, c("at"), c("on"))
     measured = points.join(decided, key, "left").withColumns({"cluster_as": d_as, "cluster_sw": d_sw, "cluster_plain": classify(lat, lon)})
