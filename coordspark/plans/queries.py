@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import crs, formatting, parse
-from coordspark.operators import columns, convert, grids, quantiles, regions, sheet_index, sheets, swaps
+from coordspark.operators import columns, convert, grids, quantiles, regions, sheet_index, sheets, swaps, tidy
 from coordspark.operators.tables import shared_dir, written
-from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, survey_sql
+from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, raw_book_sql, survey_sql
 from coordspark.sinks import documents
 from coordspark.sources import csv, ntv2
 
@@ -199,6 +199,14 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.as_columns(rows, ["n", "lat", "lon", "note"]).withColumn("source_id", segment)
 
 
+def tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with a title, names in a row of data, angles in three cells and empty rows, put in order."""
+    tables = customers(spark, sf_dir, raw_book_sql)
+    headers = tables.select("source_id").distinct().withColumn("names", F.array(*(F.lit(f"Unnamed: {k}") for k in range(5))))
+    rows, names = tidy.tidy(tables, headers)
+    return rows.join(names, "source_id").select("source_id", "row_id", F.array_join("names", ",").alias("names"), F.array_join("cells", "|").alias("cells"))
+
+
 #: An old datum in degrees, whose points a grid moves, and seven parameters where it doesn't reach.
 OLD = crs.System(0, "intl", False, shift=crs.get(20790).shift, needs_grid=True)
 
@@ -219,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
-        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift,
+        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift, tidied,
     )
 }
 
@@ -349,6 +357,8 @@ def _oracle() -> dict[str, str]:
         "gpx_lines": f"""{label} SELECT sample AS source_id, row_id AS pos, '<wpt lat="' || {short('lat')} || '" lon="' || {short('lon')} || '"><name>' || sample || '</name></wpt>' AS line FROM labelled WHERE status = 'ok'""",
         "grid_shift": f"""{base}, good AS (SELECT row_id, lat, lon FROM pts WHERE {ok('lat', 'lon')}), moved AS (SELECT row_id, max_by(lat2, k) AS lat2, max_by(lon2, k) AS lon2 FROM ({sub_grid(0)} UNION ALL {sub_grid(1)}) GROUP BY 1), {helmert}
             SELECT s.row_id, CASE WHEN m.row_id IS NULL THEN 'helmert' ELSE 'grid' END AS way, round(coalesce(m.lon2, s.lon2), 6) AS lon2, round(coalesce(m.lat2, s.lat2), 6) AS lat2 FROM seven s LEFT JOIN moved m USING (row_id)""",
+        "tidied": """SELECT c_mktsegment AS source_id, c_custkey AS row_id, 'Ponto,Latitude' AS names,
+            c_custkey || '|' || c_custkey % 80 || '° ' || c_custkey * 7 % 60 || ''' ' || c_custkey * 11 % 60 || ',5"' AS cells FROM customer WHERE c_custkey % 13 <> 0""",
         "csv_rows": f"SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS row_id, n, lat, lon, note FROM ({field_book_sql()})",
         "table_search": f"WITH raw AS ({survey_sql()}) SELECT row_id FROM raw WHERE contains(lower(concat_ws(' ', row_id + 1, sample, lat_raw, lon_raw)), '7° 1')",
         "projected": f"""{base}, good AS (SELECT row_id, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lat END AS lat, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lon END AS lon FROM pts),

@@ -76,3 +76,11 @@ def node_shift(i, j, axis: int):
     """The shift of a node in seconds, as a short float; for arrays and SQL alike."""
     a, b = ((7, 3), (5, 11))[axis]
     return f"CAST(CAST((({i}) * {a} + ({j}) * {b}) % 32 AS DOUBLE) / 7 - 2 AS REAL)::DOUBLE" if isinstance(i, str) else (i * a + j * b) % 32 / 7 - 2
+
+
+def raw_book_sql(customer: str = "customer") -> str:
+    """source_id, row_id, cells of tables without a header: a title, a row of names, angles in three cells, empty rows and an empty column."""
+    data = "array('', CAST(k AS STRING), CAST(k % 80 AS STRING), CAST(k * 7 % 60 AS STRING), CAST(k * 11 % 60 AS STRING) || ',5')"
+    return f"""SELECT c_mktsegment AS source_id, k AS row_id, CASE WHEN k % 13 = 0 THEN array('', ' ', '', 'nan', '') ELSE {data} END AS cells FROM (SELECT c_custkey AS k, c_mktsegment FROM {customer}) a
+      UNION ALL SELECT DISTINCT c_mktsegment, CAST(-2 AS BIGINT), array('', 'Campanha ' || c_mktsegment, '', '', '') FROM {customer}
+      UNION ALL SELECT DISTINCT c_mktsegment, CAST(-1 AS BIGINT), array('', 'Ponto', 'Latitude', '', '') FROM {customer}"""
