@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import crs, formatting, parse
-from coordspark.operators import columns, convert, grids, quantiles, regions, sheet_index, sheets, swaps, tidy
+from coordspark.operators import columns, convert, grids, quantiles, region_table, regions, sheet_index, sheets, swaps, tidy
 from coordspark.operators.tables import shared_dir, written
 from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, raw_book_sql, survey_sql
 from coordspark.sinks import documents
@@ -207,6 +207,18 @@ def tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, "source_id").select("source_id", "row_id", F.array_join("names", ",").alias("names"), F.array_join("cells", "|").alias("cells"))
 
 
+#: Boxes of parts: corners over the survey, sides from a twentieth of a degree to two degrees.
+BOXES = """SELECT CAST(p_partkey * 7919 % 1009 AS INT) AS ord, 'region ' || CAST(p_partkey AS STRING) AS name, 36.0 + p_partkey * 104729 % 6000 / 1000.0 AS lat_min,
+    36.0 + p_partkey * 104729 % 6000 / 1000.0 + p_size * p_size / 1250.0 + 0.05 AS lat_max, -10.0 + p_partkey * 7919 % 4000 / 1000.0 AS lon_min,
+    -10.0 + p_partkey * 7919 % 4000 / 1000.0 + p_size / 100.0 + 0.05 AS lon_max FROM {part}"""
+
+
+def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of many overlapping regions that holds each point of the survey."""
+    boxes = spark.sql(BOXES, part=spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"))
+    return region_table.first_region(points(spark, sf_dir).select("row_id", "lat", "lon"), boxes, "row_id").select("row_id", "region")
+
+
 #: An old datum in degrees, whose points a grid moves, and seven parameters where it doesn't reach.
 OLD = crs.System(0, "intl", False, shift=crs.get(20790).shift, needs_grid=True)
 
@@ -227,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
-        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift, tidied,
+        upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift, tidied, region_boxes,
     )
 }
 
@@ -359,6 +371,8 @@ def _oracle() -> dict[str, str]:
             SELECT s.row_id, CASE WHEN m.row_id IS NULL THEN 'helmert' ELSE 'grid' END AS way, round(coalesce(m.lon2, s.lon2), 6) AS lon2, round(coalesce(m.lat2, s.lat2), 6) AS lat2 FROM seven s LEFT JOIN moved m USING (row_id)""",
         "tidied": """SELECT c_mktsegment AS source_id, c_custkey AS row_id, 'Ponto,Latitude' AS names,
             c_custkey || '|' || c_custkey % 80 || '° ' || c_custkey * 7 % 60 || ''' ' || c_custkey * 11 % 60 || ',5"' AS cells FROM customer WHERE c_custkey % 13 <> 0""",
+        "region_boxes": f"""{base}, boxes AS ({BOXES.format(part='part')}), hit AS (SELECT row_id, arg_min(name, (ord, name)) AS region FROM pts JOIN boxes ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY row_id)
+            SELECT row_id, region FROM pts LEFT JOIN hit USING (row_id)""",
         "csv_rows": f"SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS row_id, n, lat, lon, note FROM ({field_book_sql()})",
         "table_search": f"WITH raw AS ({survey_sql()}) SELECT row_id FROM raw WHERE contains(lower(concat_ws(' ', row_id + 1, sample, lat_raw, lon_raw)), '7° 1')",
         "projected": f"""{base}, good AS (SELECT row_id, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lat END AS lat, CASE WHEN {inside('lat', 'lon', MAINLAND)} THEN lon END AS lon FROM pts),
