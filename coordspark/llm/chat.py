@@ -123,9 +123,11 @@ def _jumps(light: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
             discard(*jumps)
             return [], cut
         last = jumps[-1]
-        far = last.alias("a").join(last.alias("b"), _on("a.up", "b.key"), "left")
-        add = lambda c: F.col(f"a.{c}") + F.coalesce(f"b.{c}", F.lit(0))
-        jumps.append(written(far.select("a.conv_id", "a.key", F.col("b.up").alias("up"), add("depth").alias("depth"), add("score").alias("score"), F.coalesce("a.root", "b.root").alias("root"), F.least("a.least", "b.least").alias("least")), "chat-jumps"))
+        # messages whose jump has ended are joined no more
+        far = last.where("up is not null").alias("a").join(last.alias("b"), _on("a.up", "b.key"))
+        add = lambda c: F.col(f"a.{c}") + F.col(f"b.{c}")
+        far = far.select("a.conv_id", "a.key", F.col("b.up").alias("up"), add("depth").alias("depth"), add("score").alias("score"), F.coalesce("a.root", "b.root").alias("root"), F.least("a.least", "b.least").alias("least"))
+        jumps.append(written(far.unionAll(last.where("up is null")), "chat-jumps"))
     return jumps, None
 
 
