@@ -29,12 +29,12 @@ def format_dms(value: Column, axis: str, decimals: int = 3) -> Column:
 
 def number_text(value: Column) -> Column:
     """The shortest decimal that reads back the same: plain from 1e-4 to 1e16 with at least one place, in powers of ten beyond."""
-    digits = F.regexp_extract(value.cast("string"), r"^-?([0-9.]+)", 1)  # as 0.5, 1.2345678 with a power, or 5.0 with one
-    exp = F.coalesce(F.regexp_extract(value.cast("string"), r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    sign = F.when(value < 0, "-").otherwise("")
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
     plain = F.regexp_replace(F.abs(value).cast("decimal(38,20)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    power = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")))
+    # the first of one to seventeen digits that reads back; such values are few
+    tries = [F.format_string(f"%.{places}e", F.abs(value)) for places in range(17)]
+    power = F.coalesce(*(F.when(t.cast("double") == F.abs(value), t) for t in tries))
     text = F.when((F.abs(value) >= 1e16) | ((F.abs(value) < 1e-4) & (value != 0)), power).otherwise(plain)
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.concat(sign, text))
 

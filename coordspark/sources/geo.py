@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coordspark.functions.formatting import number_text
 from coordspark.operators.columns import numbered_repeats
 from coordspark.sources.texts import texts
 
@@ -43,27 +44,48 @@ def _attribute(text: Column, name: str) -> Column:
     return _entities(F.regexp_extract(text, rf"""^[^>]*?\s{name}\s*=\s*["']([^"']*)["']""", 1))
 
 
+#: The five named references of XML.
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
 def _entities(text: Column) -> Column:
-    for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(mark), F.lit(sign))
-    return text
+    """References replaced, each once; one that means nothing stays."""
+    code = lambda t, pattern, base: F.conv(F.regexp_extract(t, pattern, 1), base, 10).cast("int")
+    sign = lambda n: F.when(n.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(t: Column) -> Column:
+        out = F.when(t.rlike("^&#[xX]"), F.coalesce(sign(code(t, "([0-9A-Fa-f]+);", 16)), t)).when(t.rlike("^&#[0-9]"), F.coalesce(sign(code(t, "([0-9]+);", 10)), t))
+        for name, meant in NAMED.items():
+            out = out.when(t == name, meant)
+        return out.otherwise(t)
+
+    parts = F.regexp_extract_all(text, F.lit("(&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[a-z]+;|[^&]+|&)"), F.lit(1))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def _plain(text: Column) -> Column:
-    """An element's text: character data as it stands, entities resolved elsewhere."""
-    data = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
-    return F.trim(F.when(text.rlike(data), F.regexp_extract(text, data, 1)).otherwise(_entities(F.regexp_replace(text, "<[^>]*>", ""))))
+    """An element's text: markup taken out, references replaced, white space single."""
+    return F.trim(F.regexp_replace(_entities(F.regexp_replace(text, "<[^>]*>", "")), r"(?U)\s+", " "))
+
 
+def _simple(text: Column) -> Column:
+    """The document as markup and text alone: comments and instructions left out, character data written with references.
 
-def _without_comments(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    One expression reads them all, so that what looks like one inside another is not taken for it.
+    """
+    token = r"""(?s)(<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<)"""
+    raw = lambda t: F.substring(t, F.lit(10), F.length(t) - 12)
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    one = lambda t: F.when(t.startswith("<!--") | t.startswith("<?"), "").when(t.startswith("<![CDATA["), escaped(raw(t))).otherwise(t)
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(1)), one), "")
+    return F.when(text.contains("<!") | text.contains("<?"), whole).otherwise(text)
 
 
 def kml(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Placemarks with a point, and how many have none."""
-    marks = sources.select("source_id", F.posexplode(_elements(_without_comments(F.col("text")), "Placemark")).alias("pos", "x"))
+    marks = sources.select("source_id", F.posexplode(_elements(_simple(F.col("text")), "Placemark")).alias("pos", "x"))
     at = F.split(F.trim(F.regexp_extract("x", rf"{_tag('Point')}", 1)), "zzz")[0]
-    place = F.regexp_extract(F.trim(F.regexp_extract(at, _tag("coordinates"), 1)), r"^(\S+)", 1)
+    place = F.regexp_extract(F.trim(F.regexp_extract(at, _tag("coordinates"), 1)), r"^\s*(\S+)", 1)
     parts = F.split(place, ",")
     data = F.transform(_whole(F.col("x"), "Data"), lambda d: F.struct(_attribute(d, "name").alias("k"), F.coalesce(_first(d, "value"), F.lit("")).alias("v")))
     simple = F.transform(_whole(F.col("x"), "SimpleData"), lambda d: F.struct(_attribute(d, "name").alias("k"), F.coalesce(_first(d, "SimpleData"), F.lit("")).alias("v")))
@@ -72,13 +94,14 @@ def kml(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = F.exists(props, lambda p: p["k"] == "description")
     props = F.when(text.isNotNull() & ~named, F.concat(props, F.array(F.struct(F.lit("description").alias("k"), text.alias("v"))))).otherwise(props)
     name = _first(F.regexp_replace("x", r"(?s)<(?:[\w.-]+:)?(?:ExtendedData|Point|MultiGeometry)\b.*", ""), "name")
-    read = marks.select("source_id", "pos", name.alias("name"), F.get(parts, F.lit(1)).alias("lat"), F.get(parts, F.lit(0)).alias("lon"), F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("alt"), props.alias("props"), (place != "").alias("point"))
+    read = marks.select("source_id", "pos", name.alias("name"), F.get(parts, F.lit(1)).alias("lat"), F.get(parts, F.lit(0)).alias("lon"), F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("alt"), props.alias("props"), F.coalesce((F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != ""), F.lit(False)).alias("point"))
     return _points(read), _notes(read, "geo_skipped_non_points")
 
 
 def gpx(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Way points; where a file has none its route points, and else its track points."""
-    text = _without_comments(F.col("text"))
+    sources = sources.select("source_id", _simple(F.col("text")).alias("text"))
+    text = F.col("text")
     kinds = {k: _whole(text, k) for k in ("wpt", "rtept", "trkpt")}
     size = sources.select("source_id", *(v.alias(k) for k, v in kinds.items()))
     chosen = F.when(F.size("wpt") > 0, F.col("wpt")).when(F.size("rtept") > 0, F.col("rtept")).otherwise(F.col("trkpt"))
@@ -94,11 +117,25 @@ def gpx(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _points(read), kinds_.unionAll(_notes(read, "geo_skipped_without_place"))
 
 
-def _json_text(value: Column) -> Column:
-    """A JSON value as text: strings without quotes, whole numbers without a point, null as empty."""
-    whole = value.rlike(r"^-?[0-9]{1,16}(\.0+)?$")
-    number = F.when(whole, F.regexp_replace(value, r"\.0+$", "")).otherwise(value)
-    return F.when(value.isNull() | (value == "null"), "").otherwise(number)
+def _number(value: Column) -> Column:
+    """A JSON number as text: whole ones below 1e16 without a point, others as short as they read back."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e16), value.cast("long").cast("string")).otherwise(number_text(value))
+
+
+def _json_text(text: Column, value: Column) -> Column:
+    """A JSON value as text, by its kind: strings as they are, null as empty, objects and arrays as compact JSON."""
+    return F.when(F.schema_of_variant(value) == "VOID", "").when(_numeric(value), _number(text.try_cast("double"))).otherwise(F.coalesce(text, F.lit("")))
+
+
+def _numeric(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+def _place(coordinates: Column, k: int) -> Column:
+    """A number of a position, as text; null for anything else."""
+    value = F.get(coordinates, F.lit(k))
+    return F.when(_numeric(value), _number(F.variant_get(value, "$", "double")))
 
 
 def geojson(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,14 +147,15 @@ def geojson(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = each.withColumn("f", F.from_json("x", "type string, id string, geometry string, properties string"))
     geometry = F.when(F.col("f.type") == "Feature", F.col("f.geometry")).otherwise(F.col("x"))
     each = each.withColumn("g", F.from_json(geometry, "type string, coordinates string"))
-    place = F.when(F.col("g.type") == "Point", F.from_json("g.coordinates", "array<string>")).when(F.col("g.type") == "MultiPoint", F.get(F.from_json("g.coordinates", "array<array<string>>"), F.lit(0)))
+    place = F.when(F.col("g.type") == "Point", F.from_json("g.coordinates", "array<variant>")).when(F.col("g.type") == "MultiPoint", F.get(F.from_json("g.coordinates", "array<array<variant>>"), F.lit(0)))
     crs_name = F.get_json_object("crs", "$.properties.name")
     code = F.when(F.lower(crs_name).isin(*WGS84_NAMES), "").otherwise(F.regexp_extract(crs_name, EPSG, 1))
     keys = F.coalesce(F.json_object_keys("f.properties"), F.expr(EMPTY))
-    values = F.from_json("f.properties", "map<string,string>")
-    props = F.transform(keys, lambda k: F.struct(k.alias("k"), _json_text(F.element_at(values, k)).alias("v")))
+    values, typed = F.from_json("f.properties", "map<string,string>"), F.from_json("f.properties", "map<string,variant>")
+    each = each.withColumns({"keys": keys, "values": values, "typed": typed})
+    props = F.transform("keys", lambda k: F.struct(k.alias("k"), _json_text(F.element_at("values", k), F.element_at("typed", k)).alias("v")))
     own = F.when(F.col("f.id").isNotNull() & (F.col("f.type") == "Feature"), F.array(F.struct(F.lit("id").alias("k"), F.col("f.id").alias("v")))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
-    read = each.select("source_id", "pos", F.lit(None).cast("string").alias("name"), _json_text(F.get(place, F.lit(1))).alias("lat"), _json_text(F.get(place, F.lit(0))).alias("lon"), F.coalesce(_json_text(F.get(place, F.lit(2))), F.lit("")).alias("alt"), F.concat(own, props).alias("props"), F.coalesce(F.size(place) >= 2, F.lit(False)).alias("point"), F.coalesce(code, F.lit("")).alias("code"))
+    read = each.select("source_id", "pos", F.lit(None).cast("string").alias("name"), _place(place, 1).alias("lat"), _place(place, 0).alias("lon"), F.coalesce(_place(place, 2), F.lit("")).alias("alt"), F.concat(own, props).alias("props"), (_place(place, 0).isNotNull() & _place(place, 1).isNotNull()).alias("point"), F.coalesce(code, F.lit("")).alias("code"))
     declared = read.where("code <> ''").select("source_id", F.concat(F.lit("geojson_crs:EPSG:"), "code").alias("code"), F.lit(1).cast("long").alias("n")).distinct()
     return _points(read.withColumn("projected", F.col("code") != "")), _notes(read, "geo_skipped_non_points").unionAll(declared)
 
