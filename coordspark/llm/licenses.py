@@ -2,13 +2,20 @@
 
 A text is made canonical (lower case, no copyright lines nor title line, whatever comment
 marks are before them, equivalent spellings as one, everything but letters and digits as
-one space) and its SHA-256 is looked up among the
-digests of known licences, made by the same rule. Whole texts are joined by hash with the
-known digests, a table of one row per known text: ``KNOWN``, the files in ``license_texts``,
-or a table of the caller's. The SQL knows ``KNOWN`` alone, by ``RULES``. Notices are often one line of a longer text, so each
-line is also canonicalised as a text of its own, without any shuffle.
-
-Null and empty texts have no licence (null) and no lines (empty list). Rows stand alone.
+one space) and its SHA-256 is joined with the
+digests of known licences, made by the same rule: a table of one row per known text, which is
+``KNOWN`` and the files in ``license_texts``, or a table of the caller's. The SQL knows
+``KNOWN`` alone, by ``RULES``. Notices are often one line of a longer text, so each distinct
+line is a text of its own in the same join. What is found belongs to a text, by two 64-bit
+hashes, and comes back to the documents that have it; texts in which nothing is found are met
+by no row. Known digests, and texts in which something is found, are sent to all tasks where
+they are few, and joined by a shuffle where not; neither reaches the driver.
+
+Null and empty texts have no licence (null) and no lines (empty list); a text of any length is
+read whole. Repeated rows get the same answer each. Columns ``license`` and ``line_licenses``
+of the input are replaced, all others stay, whatever their names. Of two names of one known
+text the first in order counts; null names and texts are none. Empty tables of documents give
+no row, and an empty table of licences finds nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coordspark.llm.tables import written
+
 #: Licence identifiers and texts or notices they are known by.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
@@ -51,6 +60,10 @@ SCAN_RULES = (
 )
 
 
+#: The most rows that are sent to all tasks.
+FEW = 20_000
+
+
 def canonical(text: str, rules: tuple = RULES) -> str:
     text = text.lower()
     for pattern, by in rules:
@@ -77,24 +90,32 @@ def canonical_column(text: Column) -> Column:
     return F.trim(out)
 
 
-def table_digests(known: DataFrame) -> dict[str, str]:
-    """The digests of a table license, text; the driver gets a digest of each. Of two names of one text the first in order counts."""
+def table_digests(known: DataFrame) -> DataFrame:
+    """The digests of a table license, text."""
     keyed = known.where("license is not null").select("license", canonical_column(F.col("text")).alias("c")).where("c <> ''")
-    return {r.d: r.name for r in keyed.groupBy(F.sha2("c", 256).alias("d")).agg(F.min("license").alias("name")).collect()}
+    return keyed.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("name"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """By the known texts, a table license, text or those of this package: the documents with ``license``, of the whole text, and ``line_licenses``, distinct and sorted, of its lines."""
     spark = docs.sparkSession
     docs = docs.drop("license", "line_licenses")
-    known = known_digests() if known is None else table_digests(known)
-    table = spark.createDataFrame(sorted(known.items()), "_digest string, license string")
-    keyed = docs.withColumn("_digest", F.sha2(canonical_column(F.col("text")), 256))
-    names = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair)) if known else F.create_map().cast("map<string,string>")
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.sha2(canonical_column(x), 256))
-    found = F.transform(F.filter(lines, lambda x: x.isin(*sorted(known)) if known else F.lit(False)), lambda x: F.element_at(names, x))
-    keyed = keyed.withColumn("line_licenses", F.array_sort(F.array_distinct(found)))
-    return keyed.join(F.broadcast(table), "_digest", "left").select(*docs.columns, "license", "line_licenses")  # a row for each known text
+    table = spark.createDataFrame(sorted(known_digests().items()), "digest string, name string") if known is None else table_digests(known)
+    text = F.coalesce("text", F.lit(""))
+    of = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), of.alias("of"))
+    digest = lambda x: F.sha2(canonical_column(x), 256)
+    asked = F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(text).alias("digest"))), F.transform(F.array_distinct(F.split(text, "\n")), lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))))
+    met = docs.select(of.alias("of"), F.explode(asked).alias("x")).select("of", "x.whole", "x.digest").join(_few(table), "digest")
+    names = F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("name"))))  # as many as there are licences, at most
+    found = written(met.groupBy("of").agg(F.min(F.when(F.col("whole"), F.col("name"))).alias("license"), names.alias("line_licenses")), "license-texts")
+    none = F.expr("cast(array() as array<string>)")
+    return keyed.join(_few(found), "of", "left").select("doc.*", "license", F.coalesce("line_licenses", none).alias("line_licenses"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """The frame, to be sent to all tasks if it has at most ``FEW`` rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def oracle_sql() -> str:
