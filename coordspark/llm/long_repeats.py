@@ -252,8 +252,8 @@ def remove(docs: DataFrame, text: Column | None = None, name: str = "repeats", l
     discard(light)
     one = F.min(F.struct("row", "start", "n"))
     kinds = written(near.groupBy("key", "seg").agg(F.count("*").alias("copies"), one.alias("at")), "repeats-kinds")
-    # a text is asked for few segments: those it holds
-    want = kinds.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("key", "seg", "copies", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("want"))
+    # a text is asked for few segments, those it holds; in their order, as neighbours share bytes and pack well
+    want = kinds.groupBy(F.col("at.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "key", "seg", "copies"))).alias("want"))
     pieces = written(rows.select("row", "bytes").join(want, "row").mapInArrow(_taken(length), PIECES), "repeats-pieces")
     discard(kinds)
     marks = _marks(pieces, length, gram_sizes(length, gram), block, group)
