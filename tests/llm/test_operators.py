@@ -186,6 +186,32 @@ def test_mixing_weights(spark, entropy, most):
     assert [r.copies for r in mixing.mix(nulls).collect()] == [1, 1]
 
 
+def test_mixing_query_tempers(spark):
+    docs = {r["doc_id"]: r for r in rows("documents")}
+    data = [(i, r["text"], r["source"]) for i, r in docs.items()]
+    taken, longest, copies = collections.Counter(), {}, collections.Counter()
+    for r in QUERIES["op2_mixing"](spark, SMALL).collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id]["text"] or ""))
+        taken[r.source] += n * r.copies
+        longest[r.source] = max(longest.get(r.source, 0), n)
+        copies[r.copies] += 1
+    assert sum(copies.values()) == len(data) and copies[2] and copies[0]  # some twice, some not at all
+    same = collections.Counter((t or "") for _, t, _ in data)
+    for s, want in brute_mix(data, 0.9999, 1.1).items():
+        assert want - longest[s] * max(same.values()) <= taken[s] <= want + 1e-6
+
+
+def test_licenses_in_hot_and_odd_rows(spark, monkeypatch):
+    text = "a\nReleased under the MIT License.\nLicensed under CC BY 4.0.\nReleased under the MIT License."
+    data = [(1, text, "x", "y", "z")] * 40 + [(1, None, None, "y", "z"), (None, "", "x", None, "z"), (2, "w " * 50000 + "\n// released under the mit license", "x", "y", "z")]
+    df = spark.createDataFrame(data, "doc_id long, text string, _digest string, of string, license string")
+    for few in (20_000, 0):  # all joins by a shuffle in the second
+        monkeypatch.setattr(licenses, "FEW", few)
+        got = collections.Counter((r.doc_id, r._digest, r.of, r.license, tuple(r.line_licenses)) for r in licenses.scan(df).collect())
+        assert got == {(1, "x", "y", None, ("CC-BY-4.0", "MIT")): 40, (1, None, "y", None, ()): 1, (None, "x", None, None, ()): 1, (2, "x", "y", None, ("MIT",)): 1}
+    assert licenses.scan(df.where("false")).count() == 0
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "Copyright 2020 X\nReleased under the  MIT LICENCE"), (2, "a\nLicensed under CC BY-NC 4.0.\nb"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(df).collect()}
