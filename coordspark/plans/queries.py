@@ -13,7 +13,7 @@ from coordspark.operators import columns, convert, grids, quantiles, region_tabl
 from coordspark.operators.tables import shared_dir, written
 from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, raw_book_sql, survey_sql
 from coordspark.sinks import documents
-from coordspark.sources import csv, ntv2
+from coordspark.sources import csv, ntv2, texts
 
 MAINLAND = "Portugal mainland"
 
@@ -101,8 +101,14 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points that are ok but outside the mainland, by the region they are in."""
-    return regions.region_check(_labelled(spark, sf_dir), "sample", region=MAINLAND)
+    """Points that are ok but outside the declared islands, by the region they are in."""
+    labelled = points(spark, sf_dir).withColumn("status", regions.classify(F.col("lat"), F.col("lon"), "Azores", F.col("mismatch")))
+    return regions.region_check(labelled, "sample", region="Azores")
+
+
+def best_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region that most points outside the declared one are in."""
+    return regions.best_switch(region_check(spark, sf_dir), "sample")
 
 
 def swap_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +187,53 @@ def gpx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.gpx(good, "name").where(F.col("pos") >= 0).where(F.col("pos") < documents.FOOT).select("source_id", "pos", "line")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good points with names that must be guarded, quoted and escaped."""
+    name = F.when(F.col("row_id") % 3 == 0, "=1+1").when(F.col("row_id") % 3 == 1, 'a,"b" <c> & d').otherwise(F.col("sample"))
+    return _labelled(spark, sf_dir).where("status = 'ok'").select(F.col("sample").alias("source_id"), "row_id", name.alias("name"), F.col("lat").alias("Latitude_DD"), F.col("lon").alias("Longitude_DD"))
+
+
+def _body(lines: DataFrame) -> DataFrame:
+    return lines.where((F.col("pos") >= 0) & (F.col("pos") < documents.FOOT)).select("source_id", "pos", "line")
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(documents.csv(_named(spark, sf_dir)))
+
+
+def kml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(documents.kml(_named(spark, sf_dir), "name"))
+
+
+def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(documents.geojson(_named(spark, sf_dir)))
+
+
+def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a map shows the survey's rows: those reversed out of range at their other place."""
+    return convert.plot_points(_labelled(spark, sf_dir)).select("row_id", "status", "plot_lat", "plot_lon")
+
+
+def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to review."""
+    return swaps.suspects(_labelled(spark, sf_dir)).select("row_id", "status")
+
+
+def cell_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and cells of the field books against the limits of single files."""
+    book = customers(spark, sf_dir, field_book_sql).select("source_id", F.array("n", "lat", "lon", "note").alias("cells"))
+    return texts.check_cells(book)
+
+
+def sheet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the military grid against the sheet that is written beside them."""
+    km = customers(spark, sf_dir, grid_sql).withColumns({"m": F.col("x").cast("double") / 1000, "p": F.col("y").cast("double") / 1000})
+    told = F.when(F.col("row_id") % 4 == 0, F.concat(F.lit("Folha "), (F.col("row_id") % 700).cast("string"), F.lit(".0"))).when(F.col("row_id") % 4 == 1, "no sheet").otherwise((F.col("row_id") % 600).cast("string"))
+    placed = km.withColumns({c: F.when(F.col("row_id") % 9 > 0, F.col(c)) for c in ("m", "p")}).withColumns({"d25": told, "d50": F.lit(None).cast("string")})
+    found = sheets.check_rows(placed, "d25", "d50")
+    return found.select("row_id", "sheet_status", F.round("distance_km", 6).alias("distance_km"))
+
+
 def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.search(survey(spark, sf_dir), "7° 1").select("row_id")
 
@@ -240,6 +293,7 @@ QUERIES = {
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
         upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift, tidied, region_boxes,
+        best_switch, csv_lines, kml_lines, geojson_lines, plot_points, suspects, cell_limits, sheet_checks,
     )
 }
 
@@ -317,6 +371,9 @@ def _oracle() -> dict[str, str]:
         turned AS (SELECT row_id, {tx!r} + {more!r} * (x - {rz!r} * y + {ry!r} * z) AS x, {ty!r} + {more!r} * ({rz!r} * x + y - {rx!r} * z) AS y, {tz!r} + {more!r} * (z - {ry!r} * x + {rx!r} * y) AS z FROM space),
         aux AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {out_big!r}, sqrt(x * x + y * y) * {out_small!r}) AS t FROM turned),
         seven AS (SELECT row_id, degrees(atan2(y, x)) AS lon2, degrees(atan2(z + {out_sq / (1 - out_sq) * out_small!r} * sin(t) ** 3, p - {out_sq * out_big!r} * cos(t) ** 3)) AS lat2 FROM aux)"""
+    islands = f"""{plain_label}, told AS (SELECT *, lat AS a, lon AS o FROM plain WHERE status = 'ok' AND NOT mis AND NOT {inside('lat', 'lon', 'Azores')} AND NOT {inside('lon', 'lat', 'Azores')})"""
+    outside = f"""{islands}, outside AS (SELECT *, {region.replace("ELSE 'none'", "ELSE NULL")} AS found FROM told)"""
+    named = f"""{label}, named AS (SELECT sample AS source_id, row_id AS pos, lat, lon, CASE row_id % 3 WHEN 0 THEN '=1+1' WHEN 1 THEN 'a,"b" <c> & d' ELSE sample END AS name FROM labelled WHERE status = 'ok')"""
     tm = crs.get(3763)
     ecc, radius, forward, _ = crs._series(tm.ellipsoid)
     return {
@@ -325,8 +382,32 @@ def _oracle() -> dict[str, str]:
         "metrics": f"""{label} SELECT sample, count(*) AS total, count(*) FILTER (status = 'ok' AND {inside('lat', 'lon', MAINLAND)}) AS inside,
             count(*) FILTER (status = 'ok' AND NOT {inside('lat', 'lon', MAINLAND)}) AS outside, count(*) FILTER (status LIKE 'swap%') AS swaps,
             count(*) FILTER (status IN ('missing', 'out_of_range')) AS invalid FROM labelled GROUP BY sample""",
-        "region_check": f"""{label} SELECT sample, {region.replace("ELSE 'none'", "ELSE NULL")} AS found, count(*) AS n, min(row_id) AS first_row
-            FROM (SELECT *, lat AS a, lon AS o FROM labelled WHERE status = 'ok' AND NOT {inside('lat', 'lon', MAINLAND)}) GROUP BY ALL""",
+        "region_check": f"{outside} SELECT sample, found, count(*) AS n, min(row_id) AS first_row FROM outside GROUP BY ALL",
+        "best_switch": f"""{outside}, counted AS (SELECT sample, found, count(*) AS n, min(row_id) AS r FROM outside WHERE found IS NOT NULL GROUP BY ALL)
+            SELECT sample, found AS region, n FROM counted QUALIFY row_number() OVER (PARTITION BY sample ORDER BY n DESC, r) = 1""",
+        "csv_lines": f"""{named} SELECT source_id, pos, CASE pos % 3 WHEN 0 THEN '\'\'=1+1' WHEN 1 THEN '"a,""b"" <c> & d"' ELSE name END || ',' || {plain('lat')} || ',' || {plain('lon')} AS line FROM named""".replace("\\'", "'"),
+        "kml_lines": f"""{named}, safe AS (SELECT *, replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM named)
+            SELECT source_id, pos, '<Placemark><name>' || x || '</name><ExtendedData><Data name="name"><value>' || x || '</value></Data></ExtendedData><Point><coordinates>' || {plain('lon')} || ',' || {plain('lat')} || ',0</coordinates></Point></Placemark>' AS line FROM safe""",
+        "geojson_lines": f"""{named} SELECT source_id, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY source_id) THEN '' ELSE ',' END || '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || {plain('lon')} || ',' || {plain('lat')}
+            || ']}},"properties":{{"name":' || CAST(to_json(name) AS VARCHAR) || '}}}}' AS line FROM named""",
+        "plot_points": f"""{label}, placed AS (SELECT row_id, status, CASE WHEN status = 'swap_range' THEN lon ELSE lat END AS plot_lat, CASE WHEN status = 'swap_range' THEN lat ELSE lon END AS plot_lon FROM labelled)
+            SELECT * FROM placed WHERE {ok('plot_lat', 'plot_lon')}""",
+        "suspects": f"{label} SELECT row_id, status FROM labelled WHERE status LIKE 'swap%'",
+        "cell_limits": "SELECT c_mktsegment AS source_id, count(*) AS rows, 4 * count(*) AS cells, 'fine' AS verdict FROM customer GROUP BY 1",
+        "sheet_checks": f"""WITH runs(j, i, n, c) AS (VALUES {values(sheet_index.RUNS_25)}),
+            s25 AS (SELECT CAST(n + k AS VARCHAR) AS key, i + k AS i, j FROM (SELECT *, unnest(range(c)) AS k FROM runs) UNION ALL SELECT * FROM (VALUES {values(sheet_index.SPECIAL_25)})),
+            g AS (SELECT row_id, CASE WHEN row_id % 9 > 0 THEN CAST(x AS DOUBLE) / 1000 END AS m, CASE WHEN row_id % 9 > 0 THEN CAST(y AS DOUBLE) / 1000 END AS p,
+                CASE row_id % 4 WHEN 0 THEN CAST(row_id % 700 AS VARCHAR) WHEN 1 THEN NULL ELSE CAST(row_id % 600 AS VARCHAR) END AS d FROM ({grid_sql()})),
+            far AS (SELECT row_id, any_value(m) AS m, min(CASE WHEN key IS NOT NULL THEN sqrt(greatest(8 + 16 * i - m, 0, m - 24 - 16 * i) ** 2 + greatest(10 * j - p, 0, p - 10 - 10 * j) ** 2) END) AS km FROM g LEFT JOIN s25 ON key = d GROUP BY row_id)
+            SELECT row_id, CASE WHEN m IS NULL THEN 'none' WHEN km IS NULL THEN 'unknown' WHEN km <= 0.5 THEN 'ok' ELSE 'off' END AS sheet_status, round(CASE WHEN m IS NOT NULL THEN km END, 6) AS distance_km FROM far""",
+        "column_guess": f"""{base.replace('pts AS', 'un AS').replace('AS lat,', 'AS rl,').replace('AS lon FROM', 'AS rn FROM')}, cols AS (SELECT sample, 1 AS i, lon_raw AS cell, {value('lon_raw', False)} AS p FROM cells UNION ALL SELECT sample, 2, lat_raw, {value('lat_raw', False)} FROM cells
+                UNION ALL SELECT sample, 3, CAST(row_id AS VARCHAR), CAST(row_id AS DOUBLE) FROM cells UNION ALL SELECT sample, 0, sample, CAST(regexp_extract(sample, '[0-9]+') AS DOUBLE) FROM cells WHERE regexp_matches(sample, '[0-9]')),
+            agg AS (SELECT sample, i, count(*) AS seen, count(p) AS good, count(*) FILTER (regexp_matches(cell, '[°º''"]|[NSEWOLnsewol]\\b')) AS ang, count(*) FILTER (p = floor(p)) AS whole, max(abs(p)) AS most, list_sort(list(abs(p)) FILTER (p IS NOT NULL)) AS l
+                FROM cols WHERE cell <> '' GROUP BY ALL HAVING count(*) >= 3 AND count(p) > 0 AND count(p) >= 0.6 * count(*)),
+            scored AS (SELECT sample, i, good / seen + CASE WHEN ang / seen > 0.5 THEN 1 WHEN whole = good THEN -0.5 ELSE 0 END - CASE WHEN most > 180 THEN 1 ELSE 0 END AS score, l[good // 2 + 1] AS med FROM agg),
+            fit AS (SELECT *, med BETWEEN 36.8 AND 42.2 AS as_lat, med BETWEEN 6.1 AND 9.6 AS as_lon FROM scored WHERE score > 0),
+            top AS (SELECT * FROM fit WHERE as_lat OR as_lon QUALIFY row_number() OVER (PARTITION BY sample ORDER BY score DESC, i) <= 2)
+            SELECT sample AS source_id, CAST(max(i) FILTER (as_lat) AS INTEGER) AS lat_col, CAST(max(i) FILTER (as_lon) AS INTEGER) AS lon_col FROM top GROUP BY 1""",
         "swap_reference": f"""{plain_label}, far AS (SELECT *, sqrt((lat - 39.5) ** 2 + (lon + 8) ** 2) AS d, sqrt((lon - 39.5) ** 2 + (lat + 8) ** 2) AS e FROM plain)
             SELECT sample, CASE WHEN mis AND status = 'ok' THEN 'swap_axis' WHEN status = 'ok' AND d > 4 AND e <= 4 THEN 'swap_cluster' ELSE status END AS status, count(*) AS n
             FROM far GROUP BY ALL""",

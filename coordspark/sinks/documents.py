@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.functions import formatting
+from coordspark.operators.tables import fitted
 
 HEAD, FOOT = -1, 1 << 62
 METADATA = list[tuple[str, str]]
@@ -55,8 +56,10 @@ def geojson(rows: DataFrame, metadata: METADATA | None = None, lat: str = "Latit
         pairs.append(F.concat(F.lit(("," if k else "") + _literal(c) + ":"), value))
     props = F.concat(F.lit("{"), *pairs, F.lit("}"))
     place = F.concat(F.lit('"geometry":{"type":"Point","coordinates":['), formatting.number_text(F.col(lon)), F.lit(","), formatting.number_text(F.col(lat)), F.lit("]}"))
-    first = F.col("row_id") == F.min("row_id").over(_source())
-    line = F.concat(F.when(first, "").otherwise(","), F.lit('{"type":"Feature",'), place, F.lit(',"properties":'), props, F.lit("}"))
+    # a row for each source, met by its rows: no source is ordered for its first row
+    firsts = fitted(rows.groupBy("source_id").agg(F.min("row_id").alias("first_row")))
+    rows = rows.join(firsts, "source_id")
+    line = F.concat(F.when(F.col("row_id") == F.col("first_row"), "").otherwise(","), F.lit('{"type":"Feature",'), place, F.lit(',"properties":'), props, F.lit("}"))
     told = "" if not metadata else '"metadata":{' + ",".join(f"{_literal(a)}:{_literal(b)}" for a, b in metadata) + "},"
     return _framed(rows, line, '{"type":"FeatureCollection",' + told + '"features":[', "]}")
 
@@ -67,12 +70,6 @@ def _literal(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)
 
 
-def _source():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source_id")
-
-
 def _escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
