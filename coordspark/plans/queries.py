@@ -14,6 +14,7 @@ from coordspark.operators.tables import shared_dir, written
 from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, raw_book_sql, survey_sql
 from coordspark.sinks import documents
 from coordspark.sources import csv, ntv2, texts
+from coordspark.streaming import rows as feed
 
 MAINLAND = "Portugal mainland"
 
@@ -106,6 +107,12 @@ def region_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.region_check(labelled, "sample", region="Azores")
 
 
+def source_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sample decides as a whole, as of a feed: figures and the region to switch to."""
+    labelled = points(spark, sf_dir).withColumn("status", regions.classify(F.col("lat"), F.col("lon"), "Azores", F.col("mismatch")))
+    return feed.decisions(labelled, "Azores", "sample").drop("token")
+
+
 def best_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region that most points outside the declared one are in."""
     return regions.best_switch(region_check(spark, sf_dir), "sample")
@@ -293,7 +300,7 @@ QUERIES = {
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
         upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift, tidied, region_boxes,
-        best_switch, csv_lines, kml_lines, geojson_lines, plot_points, suspects, cell_limits, sheet_checks,
+        best_switch, source_decisions, csv_lines, kml_lines, geojson_lines, plot_points, suspects, cell_limits, sheet_checks,
     )
 }
 
@@ -371,6 +378,7 @@ def _oracle() -> dict[str, str]:
         turned AS (SELECT row_id, {tx!r} + {more!r} * (x - {rz!r} * y + {ry!r} * z) AS x, {ty!r} + {more!r} * ({rz!r} * x + y - {rx!r} * z) AS y, {tz!r} + {more!r} * (z - {ry!r} * x + {rx!r} * y) AS z FROM space),
         aux AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {out_big!r}, sqrt(x * x + y * y) * {out_small!r}) AS t FROM turned),
         seven AS (SELECT row_id, degrees(atan2(y, x)) AS lon2, degrees(atan2(z + {out_sq / (1 - out_sq) * out_small!r} * sin(t) ** 3, p - {out_sq * out_big!r} * cos(t) ** 3)) AS lat2 FROM aux)"""
+    label_islands = label.replace(inside("lat", "lon", MAINLAND), inside("lat", "lon", "Azores")).replace(inside("lon", "lat", MAINLAND), inside("lon", "lat", "Azores"))
     islands = f"""{plain_label}, told AS (SELECT *, lat AS a, lon AS o FROM plain WHERE status = 'ok' AND NOT mis AND NOT {inside('lat', 'lon', 'Azores')} AND NOT {inside('lon', 'lat', 'Azores')})"""
     outside = f"""{islands}, outside AS (SELECT *, {region.replace("ELSE 'none'", "ELSE NULL")} AS found FROM told)"""
     named = f"""{label}, named AS (SELECT sample AS source_id, row_id AS pos, lat, lon, CASE row_id % 3 WHEN 0 THEN '=1+1' WHEN 1 THEN 'a,"b" <c> & d' ELSE sample END AS name FROM labelled WHERE status = 'ok')"""
@@ -385,6 +393,11 @@ def _oracle() -> dict[str, str]:
         "region_check": f"{outside} SELECT sample, found, count(*) AS n, min(row_id) AS first_row FROM outside GROUP BY ALL",
         "best_switch": f"""{outside}, counted AS (SELECT sample, found, count(*) AS n, min(row_id) AS r FROM outside WHERE found IS NOT NULL GROUP BY ALL)
             SELECT sample, found AS region, n FROM counted QUALIFY row_number() OVER (PARTITION BY sample ORDER BY n DESC, r) = 1""",
+        "source_decisions": f"""{label_islands}, figures AS (SELECT sample, count(*) AS total, count(*) FILTER (status = 'ok' AND {inside('lat', 'lon', 'Azores')}) AS inside, count(*) FILTER (status = 'ok' AND NOT {inside('lat', 'lon', 'Azores')}) AS outside,
+                count(*) FILTER (status LIKE 'swap%') AS swaps, count(*) FILTER (status IN ('missing', 'out_of_range')) AS invalid FROM labelled GROUP BY sample),
+            away AS (SELECT sample, {region.replace("ELSE 'none'", "ELSE NULL")} AS found, count(*) AS n FROM (SELECT sample, lat AS a, lon AS o FROM labelled WHERE status = 'ok' AND NOT {inside('lat', 'lon', 'Azores')}) GROUP BY ALL),
+            best AS (SELECT sample, found AS switch, n AS switch_n FROM away WHERE found IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample ORDER BY n DESC) = 1)
+            SELECT * FROM figures LEFT JOIN best USING (sample)""",
         "csv_lines": f"""{named} SELECT source_id, pos, CASE pos % 3 WHEN 0 THEN '\'\'=1+1' WHEN 1 THEN '"a,""b"" <c> & d"' ELSE name END || ',' || {plain('lat')} || ',' || {plain('lon')} AS line FROM named""".replace("\\'", "'"),
         "kml_lines": f"""{named}, safe AS (SELECT *, replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM named)
             SELECT source_id, pos, '<Placemark><name>' || x || '</name><ExtendedData><Data name="name"><value>' || x || '</value></Data></ExtendedData><Point><coordinates>' || {plain('lon')} || ',' || {plain('lat')} || ',0</coordinates></Point></Placemark>' AS line FROM safe""",
