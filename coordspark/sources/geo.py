@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from coordspark.functions.formatting import number_text
 from coordspark.operators.columns import numbered_repeats
+from coordspark.operators.tables import discard, fitted, written
+from coordspark.sources import geojson_splits
 from coordspark.sources.texts import texts
 
 #: Names of the plain geographic system in the way of 2008, and how another is named.
@@ -138,12 +140,27 @@ def _place(coordinates: Column, k: int) -> Column:
     return F.when(_numeric(value), _number(F.variant_get(value, "$", "double")))
 
 
+def _collection(text: Column) -> Column:
+    return F.from_json(text, "type string, features array<string>, crs string")
+
+
 def geojson(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The points of a collection, a feature or a bare geometry; of several points the first; the rest is counted. A declared system is a note."""
     text = F.regexp_replace("text", "^﻿", "")
-    doc = sources.select("source_id", text.alias("text"), F.from_json(text, "type string, features array<string>, crs string").alias("d"))
+    doc = sources.select("source_id", text.alias("text"), _collection(text).alias("d"))
     whole = F.when(F.col("d.type") == "FeatureCollection", F.coalesce("d.features", F.expr(EMPTY))).otherwise(F.array("text"))
-    each = doc.select("source_id", "d.crs", F.posexplode(whole).alias("pos", "x"))
+    read = _features(doc.select("source_id", F.col("d.crs").alias("crs"), F.posexplode(whole).alias("pos", "x")))
+    declared = read.where("code <> ''").select("source_id", "code").distinct()
+    return _points(read), _notes(read, "geo_skipped_non_points").unionAll(_declared(declared))
+
+
+def _declared(codes: DataFrame) -> DataFrame:
+    return codes.select("source_id", F.concat(F.lit("geojson_crs:EPSG:"), "code").alias("code"), F.lit(1).cast("long").alias("n"))
+
+
+def _features(each: DataFrame) -> DataFrame:
+    """Features (crs, x and others) read: name, lat, lon, alt, props, whether it is a point, and the code of another system than the plain one."""
+    others = [c for c in each.columns if c not in ("crs", "x")]
     each = each.withColumn("f", F.from_json("x", "type string, id string, geometry string, properties string"))
     geometry = F.when(F.col("f.type") == "Feature", F.col("f.geometry")).otherwise(F.col("x"))
     each = each.withColumn("g", F.from_json(geometry, "type string, coordinates string"))
@@ -155,9 +172,31 @@ def geojson(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = each.withColumns({"keys": keys, "values": values, "typed": typed})
     props = F.transform("keys", lambda k: F.struct(k.alias("k"), _json_text(F.element_at("values", k), F.element_at("typed", k)).alias("v")))
     own = F.when(F.col("f.id").isNotNull() & (F.col("f.type") == "Feature"), F.array(F.struct(F.lit("id").alias("k"), F.col("f.id").alias("v")))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
-    read = each.select("source_id", "pos", F.lit(None).cast("string").alias("name"), _place(place, 1).alias("lat"), _place(place, 0).alias("lon"), F.coalesce(_place(place, 2), F.lit("")).alias("alt"), F.concat(own, props).alias("props"), (_place(place, 0).isNotNull() & _place(place, 1).isNotNull()).alias("point"), F.coalesce(code, F.lit("")).alias("code"))
-    declared = read.where("code <> ''").select("source_id", F.concat(F.lit("geojson_crs:EPSG:"), "code").alias("code"), F.lit(1).cast("long").alias("n")).distinct()
-    return _points(read.withColumn("projected", F.col("code") != "")), _notes(read, "geo_skipped_non_points").unionAll(declared)
+    read = each.select(*others, F.lit(None).cast("string").alias("name"), _place(place, 1).alias("lat"), _place(place, 0).alias("lon"), F.coalesce(_place(place, 2), F.lit("")).alias("alt"), F.concat(own, props).alias("props"), (_place(place, 0).isNotNull() & _place(place, 1).isNotNull()).alias("point"), F.coalesce(code, F.lit("")).alias("code"))
+    return read.withColumn("projected", F.col("code") != "")
+
+
+def geojson_files(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points and notes as of ``geojson``, of files that are read in splits.
+
+    Points are numbered by the counts of the splits before theirs, so no file is ordered as a
+    whole. Files that can't be read (see ``geojson_splits.features``) are notes.
+    """
+    found, frames, problems = geojson_splits.features(spark, path)
+    frames = written(frames.withColumn("d", _collection(F.col("text"))).select("source_id", "d.crs", F.col("d.type").eqNullSafe("FeatureCollection").alias("many"), F.col("text").alias("x")), "geojson-frames")
+    tops = frames.where("many").select("source_id", "crs")
+    alone = frames.where("not many").select("source_id", "crs", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("nth"), "x")
+    each = found.join(fitted(tops), "source_id").select("source_id", "crs", "at", "nth", "x").unionAll(alone)
+    read, problems = written(_features(each), "geojson-read"), written(problems, "geojson-problems")
+    discard(found, frames)
+    split, file = ["source_id", "at"], Window.partitionBy("source_id").orderBy("at")
+    counts = read.where("point").groupBy(*split).agg(F.count("*").alias("n"))
+    starts = counts.select(*split, (F.sum("n").over(file) - F.col("n")).alias("start"))  # a row for each split
+    nth = F.row_number().over(Window.partitionBy(*split).orderBy("nth")).cast("long") - 1
+    good = read.where("point").withColumn("row", nth).join(fitted(starts), split)
+    points = good.select("source_id", (F.col("start") + F.col("row")).alias("row_id"), "name", "lat", "lon", "alt", "props", "projected")
+    declared = read.where("code <> ''").select("source_id", "code").distinct()
+    return points, _notes(read, "geo_skipped_non_points").unionAll(_declared(declared)).unionAll(problems)
 
 
 def _points(read: DataFrame) -> DataFrame:
@@ -183,7 +222,7 @@ def tables(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.concat(only("named", F.lit("Nome")), place, only("high", F.lit("Altitude")), F.col("keys"))
     value = lambda k: F.coalesce(F.get(F.filter("props", lambda p: p["k"] == k), F.lit(0))["v"], F.lit(""))
     cells = F.concat(only("named", F.coalesce("name", F.lit(""))), F.array("lat", "lon"), only("high", F.col("alt")), F.transform("keys", value))
-    rows = points.drop("projected").join(head, "source_id").select("source_id", "row_id", cells.alias("cells"))
+    rows = points.drop("projected").join(fitted(head), "source_id").select("source_id", "row_id", cells.alias("cells"))
     return rows, head.select("source_id", numbered_repeats(names).alias("names"))
 
 
