@@ -13,7 +13,7 @@ from coordspark.operators import columns, convert, grids, quantiles, region_tabl
 from coordspark.operators.tables import shared_dir, written
 from coordspark.plans.survey import SUB_GRIDS, field_book_sql, grid_sql, node_shift, notebook_sql, raw_book_sql, survey_sql
 from coordspark.sinks import documents
-from coordspark.sources import csv, ntv2, texts
+from coordspark.sources import csv, geo, ntv2, texts
 from coordspark.streaming import rows as feed
 
 MAINLAND = "Portugal mainland"
@@ -216,6 +216,16 @@ def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _body(documents.geojson(_named(spark, sf_dir)))
 
 
+def geojson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections written as documents, one for each sample, and read again in splits; names hold braces, quotes and backslashes."""
+    rows = _named(spark, sf_dir).withColumn("name", F.concat("name", F.lit('}]"\\{'), F.col("row_id").cast("string")))
+    folder = f"{shared_dir(spark)}/collections-{uuid.uuid4().hex}"
+    documents.write(documents.geojson(rows, [("made by", '{"features":[')]), folder)
+    found, _ = geo.tables(geo.geojson_files(spark, f"{folder}/*/*")[0])
+    sample = F.url_decode(F.regexp_extract("source_id", "source_id=([^/]*)", 1))
+    return found.select(sample.alias("source_id"), "row_id", F.array_join("cells", "|").alias("cells"))
+
+
 def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a map shows the survey's rows: those reversed out of range at their other place."""
     return convert.plot_points(_labelled(spark, sf_dir)).select("row_id", "status", "plot_lat", "plot_lon")
@@ -300,7 +310,7 @@ QUERIES = {
     for f in (
         region_status, parse_points, axis_mismatches, status_counts, extent, dms_text, wkt, projected, safe_cells, metrics, region_check, swap_reference, swap_cluster,
         upper_median, suggest_region, signable, grid_metres, suggest_scale, sheet_counts, header_names, column_scores, column_guess, converted, gpx_lines, table_search, csv_rows, grid_shift, tidied, region_boxes,
-        best_switch, source_decisions, csv_lines, kml_lines, geojson_lines, plot_points, suspects, cell_limits, sheet_checks,
+        best_switch, source_decisions, csv_lines, kml_lines, geojson_lines, geojson_rows, plot_points, suspects, cell_limits, sheet_checks,
     )
 }
 
@@ -403,6 +413,8 @@ def _oracle() -> dict[str, str]:
             SELECT source_id, pos, '<Placemark><name>' || x || '</name><ExtendedData><Data name="name"><value>' || x || '</value></Data></ExtendedData><Point><coordinates>' || {plain('lon')} || ',' || {plain('lat')} || ',0</coordinates></Point></Placemark>' AS line FROM safe""",
         "geojson_lines": f"""{named} SELECT source_id, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY source_id) THEN '' ELSE ',' END || '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || {plain('lon')} || ',' || {plain('lat')}
             || ']}},"properties":{{"name":' || CAST(to_json(name) AS VARCHAR) || '}}}}' AS line FROM named""",
+        "geojson_rows": f"""{named} SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY pos) - 1 AS row_id,
+            regexp_replace({plain('lat')}, '[.]0$', '') || '|' || regexp_replace({plain('lon')}, '[.]0$', '') || '|' || name || '}}]"\\{{' || pos AS cells FROM named""",
         "plot_points": f"""{label}, placed AS (SELECT row_id, status, CASE WHEN status = 'swap_range' THEN lon ELSE lat END AS plot_lat, CASE WHEN status = 'swap_range' THEN lat ELSE lon END AS plot_lon FROM labelled)
             SELECT * FROM placed WHERE {ok('plot_lat', 'plot_lon')}""",
         "suspects": f"{label} SELECT row_id, status FROM labelled WHERE status LIKE 'swap%'",
