@@ -1,8 +1,10 @@
 """CSV, GeoJSON, KML and GPX as tables of lines: source_id, pos, line.
 
 Each feature is one line, made by column expressions; a document's head and foot are lines too.
-``write`` puts a source's lines in order into one file; ``write_lines`` keeps features as lines of
-as many files as there are tasks, which is how large results are kept.
+``write`` puts a source's lines in order into one file; ``write_parts`` puts them into files that
+are the document when they are joined in the order of their names, so that a large source is many
+tasks' work; ``write_lines`` keeps features alone, as lines of as many files as there are tasks.
+All write by Spark's own commit: what a failed task or job wrote is never seen.
 """
 
 from __future__ import annotations
@@ -116,6 +118,18 @@ def write(lines: DataFrame, folder: str) -> None:
     lines.repartition("source_id").sortWithinPartitions("source_id", "pos").select("source_id", F.col("line").alias("value")).write.partitionBy("source_id").text(folder)
 
 
+def write_parts(lines: DataFrame, folder: str, parts: int | None = None) -> None:
+    """A folder for each source, whose files in the order of their names are the document.
+
+    Lines are dealt out by ranges of source and position that sampling makes even, so a source
+    that holds most rows has most of the files; a small one has one file, or two where a range
+    ends in it. Names number the files up to a hundred thousand tasks.
+    """
+    by = ("source_id", "pos")
+    ranged = lines.repartitionByRange(parts, *by) if parts else lines.repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).select("source_id", F.col("line").alias("value")).write.partitionBy("source_id").text(folder)
+
+
 def write_lines(lines: DataFrame, folder: str) -> None:
     """Features as lines in as many files as there are tasks, without heads and feet."""
     features = lines.where((F.col("pos") != HEAD) & (F.col("pos") != FOOT))
