@@ -216,7 +216,8 @@ def tables(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = points.groupBy("source_id").agg(F.max(F.coalesce(F.col("name"), F.lit("")) != "").alias("named"), F.max(high).alias("high"), F.max("projected").alias("projected"))
     met = points.select("source_id", "row_id", F.posexplode("props").alias("k", "p")).groupBy("source_id", F.col("p.k").alias("key")).agg(F.min(F.struct("row_id", "k")).alias("first"))
     keys = met.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "key"))), lambda x: x["key"]).alias("keys"))  # a row for each column
-    head = kinds.join(keys, "source_id", "left").withColumn("keys", F.coalesce("keys", F.expr(EMPTY)))
+    # written: rows and headers both read it, and its size is asked
+    head = written(kinds.join(keys, "source_id", "left").withColumn("keys", F.coalesce("keys", F.expr(EMPTY))), "geo-heads")
     only = lambda flag, *names: F.when(F.col(flag), F.array(*names)).otherwise(F.expr(EMPTY))
     place = F.when(F.col("projected"), F.array(F.lit("Y"), F.lit("X"))).otherwise(F.array(F.lit("Latitude"), F.lit("Longitude")))
     names = F.concat(only("named", F.lit("Nome")), place, only("high", F.lit("Altitude")), F.col("keys"))
