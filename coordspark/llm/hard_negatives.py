@@ -11,15 +11,21 @@ bounded length at any size of the table.
 A search goes in steps. Anchors lie in packs, near ones together. For each anchor and strip the
 triangle inequality bounds the scores in it from above and below: a strip that lies in the
 annulus or nearer than it is not passed over until its bound falls below what the anchor has
-found. Each step joins packs with the blocks of the next strips, the most promising first, and
+found. Each step lets packs meet the blocks of the next strips, the most promising first, and
 twice as many strips each time; an anchor is done once no strip left could hold a row as good
 as its last one, which certifies its rows. No step leaves out what a bound allows, so rows are
 those of comparing all.
 
+A pack is never sent along with each block it meets: that is as many copies as there are strips,
+which grow with the table. Tasks write the packs of a step to the shared folder, a file each, and
+the driver knows their names and strips, one for ``PACK_ROWS`` anchors. A task that reads blocks
+takes ``BATCH_BYTES`` of them and reads the packs that ask for their strips.
+
 The positives are one search (same label, k rows). The negatives are a second one: a window of
-scores for each positive, whose outer end is where the expansion begins. Joins are by strip,
-part of a strip (at most ``PART`` blocks) and share of the packs, so neither a strip that a
-third of the rows fall into nor a strip that all anchors need is one task's.
+scores for each positive, whose outer end is where the expansion begins. Blocks are read as they
+were written, in files of about ``PART`` blocks, so neither a strip that a third of the rows fall
+into nor a strip that all anchors need is one task's. Files stay small as their readers take
+thousands of rows at once, and a row that is a block or a pack is up to a megabyte or so.
 
 Scores are exact: doubles where the lengths' product is below 2**53, Python's whole numbers
 beyond; one outside a long is an error. Rows with a null label, null or empty vectors, null or
@@ -31,22 +37,23 @@ row; so does an empty table. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.feather as feather
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coordspark.llm.exact_topk import EXACT, Best, as_integers, usable
-from coordspark.llm.tables import discard, written
+from coordspark.llm.tables import discard, opened, shared_dir, written
 
 PIVOTS, SAMPLE_ROWS = 16, 2000
-STRIP, STRIPS, PART = 2048, 64, 64
-BLOCK_ROWS, BLOCK_BYTES, PACK_ROWS = 1024, 1 << 20, 256
-#: Packs that meet a part of a strip in one task.
-SHARE = 256
+STRIP, STRIPS = 2048, 64
+BLOCK_ROWS, BLOCK_BYTES, PACK_ROWS, BATCH_BYTES = 1024, 1 << 20, 256, 16 << 20
+#: Blocks and packs in a file.
+PART, SHARE = 64, 256
 FIRST = 8
 KEYED = "row long, vec_id long, label int, v array<double>, asked boolean, pivot int, key double, near double"
 BLOCK = "strip int, block long, dim int, least double, most double, longest double, n int, rows binary, ids binary, labels binary, m binary"
@@ -64,6 +71,11 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
 
+def _fit(dim: int, most: int) -> int:
+    """Vectors of a block or pack."""
+    return max(1, min(most, BLOCK_BYTES // (8 * dim)))
+
+
 def _packed(values: np.ndarray, kind=LONG) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
@@ -138,7 +150,7 @@ def _blocks(bounds: dict[int, tuple[int, np.ndarray]]):
                 if held and held[0][0] != strip[a]:
                     yield flush()
                 dim = len(batch.column("v")[int(a)])
-                most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+                most = _fit(dim, BLOCK_ROWS)
                 for s in range(a, b, most):
                     part = batch.slice(s, min(b, s + most) - s)
                     held.append((int(strip[a]), dim, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id", "label", "key")), _matrix(part.column("v"), dim)))
@@ -168,7 +180,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip([0, *edges], [*edges, len(dims)], strict=True):
             if held and held[0][0] != dims[a]:
                 yield flush()
-            most = max(1, min(PACK_ROWS, BLOCK_BYTES // (8 * int(dims[a]))))
+            most = _fit(int(dims[a]), PACK_ROWS)
             for s in range(a, b, most):
                 part = batch.slice(s, min(b, s + most) - s)
                 held.append((int(dims[a]), *(part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id", "label")), _matrix(part.column("v"), int(dims[a]))))
@@ -182,6 +194,7 @@ PACK = "pack long, dim int, rows binary, ids binary, labels binary, m binary"
 #: What a search asks of a pack: lowest and highest scores and the least score still of use, a number for each slot of each anchor.
 ASKED = "low binary, high binary, bar binary, done int"
 TAKEN = f"{PACK}, {ASKED}, strips array<int>"
+FILED = "name string, strips array<int>"
 
 
 def _long(data: bytes, columns: int | None = None) -> np.ndarray:
@@ -246,14 +259,20 @@ class Searched:
             score = wide.astype(LONG)
         fits = (self.labels[:, None] == labels) == self.same
         fits &= self.rows[:, None] != rows
+        score[~fits] = NONE
+        top = score.max(1)
         for slot, best in enumerate(self.best):
-            bar = np.maximum(np.maximum(self.low[:, slot], self.floor[:, slot]), np.where(best.row[:, -1] >= 0, best.score[:, -1], NONE))
-            good = np.where(fits & (score >= bar[:, None]) & (score <= self.high[:, slot, None]), score, NONE)
+            bar = np.maximum(np.maximum(self.low[:, slot], self.floor[:, slot]), np.where(best.row[:, -1] >= 0, best.score[:, -1], NONE + 1))
+            some = np.flatnonzero(top >= bar)
+            if not len(some):
+                continue
+            good = score[some]
+            good[(good < bar[some, None]) | (good > self.high[some, slot, None])] = NONE
             if good.shape[1] > self.k:
                 good[good < np.partition(good, -self.k, axis=1)[:, -self.k, None]] = NONE
             q, c = np.nonzero(good > NONE)
             if len(q):
-                best.add(q, score[q, c], ids[c], rows[c])
+                best.add(some[q], good[q, c], ids[c], rows[c])
 
     def told(self) -> Iterator[pa.RecordBatch]:
         for slot, best in enumerate(self.best):
@@ -262,22 +281,50 @@ class Searched:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), self.pack)), pa.array(self.rows[q]), pa.array(np.full(len(q), slot, np.int32)), pa.array(best.id[q, j]), pa.array(best.row[q, j]), pa.array(best.score[q, j])], _names(FOUND))
 
 
-def _scanned(k: int, slots: int, same: bool, held: int = 64):
-    """Packs meet blocks; a task keeps what its last packs have found."""
+def _filed(folder: str):
+    """Packs as files of the folder; one row a file."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[int, Searched] = {}
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(folder)
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                if row["pack"] not in at:
-                    if len(at) >= held:
-                        yield from at.pop(next(iter(at))).told()
-                    at[row["pack"]] = Searched({c: row[c] for c in _names(PACK) + ["low", "high", "bar"]}, k, slots, same)
-                at[row["pack"]].meet({"dim": row["dim"], "m": row["b_m"], "ids": row["b_ids"], "rows": row["b_rows"], "labels": row["b_labels"], "longest": row["longest"]})
-        for pack in at.values():
+                name = f"{uuid.uuid4().hex}.arrow"
+                fs.create_dir(base, recursive=True)
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    feather.write_feather(pa.Table.from_batches([batch.slice(r, 1)]).drop_columns(["strips"]), out)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), batch.column("strips").slice(r, 1)], _names(FILED))
+
+    return filed
+
+
+def _scanned(folder: str, files: list[str], of: np.ndarray, strip: np.ndarray, k: int, slots: int, same: bool):
+    """Blocks meet the packs that ask for their strips: of a number in ``files``, a strip for each time it asks, sorted by strip."""
+
+    def met(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(folder)
+        asked: dict[int, list[int]] = {}
+        for b, block in enumerate(blocks):
+            for f in of[np.searchsorted(strip, block["strip"]) : np.searchsorted(strip, block["strip"], side="right")]:
+                asked.setdefault(int(f), []).append(b)
+        for f, places in asked.items():
+            with fs.open_input_file(f"{base}/{files[f]}") as data:
+                pack = Searched(feather.read_table(data, memory_map=False).to_pylist()[0], k, slots, same)
+            for b in places:
+                pack.meet(blocks[b])
             yield from pack.told()
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                held.append({c: batch.column(c)[r].as_py() for c in batch.schema.names})
+                size += len(held[-1]["m"])
+                if size >= BATCH_BYTES:
+                    yield from met(held)
+                    held, size = [], 0
+        if held:
+            yield from met(held)
+
     return scan
 
 
@@ -303,34 +350,34 @@ class Index:
         keyed = written(rows.select("row", "vec_id", "label", "v", "asked", "dim").mapInArrow(_keyed(pivots, longest), KEYED), "negatives-keys")
         discard(rows)
         # quantiles need be near only: strips differ in size then, not in what they hold
-        cuts = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("key", [k / STRIPS for k in range(1, STRIPS)], 1000).alias("q")).collect()
+        cuts = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"), F.percentile_approx("key", [k / STRIPS for k in range(1, STRIPS)], 1000).alias("q")).collect()
         bounds, strip = {}, 0
         for r in sorted(cuts, key=lambda r: r.pivot):
             parts = min(STRIPS, -(-r.n // STRIP))
             at = np.unique([r.q[-(-k * STRIPS // parts) - 1] for k in range(1, parts)]) if parts > 1 else np.zeros(0)
             bounds[r.pivot] = (strip, at)
             strip += len(at) + 1
-        ranged = keyed.repartitionByRange("pivot", "key", F.xxhash64("row")).sortWithinPartitions("pivot", "key")
+        dims = {first + k: dim for dim, (first, vectors_) in pivots.items() for k in range(len(vectors_))}
+        blocks, packs = (sum(-(-r[c] // _fit(dims[r.pivot], most)) for r in cuts) for c, most in (("n", BLOCK_ROWS), ("asked", PACK_ROWS)))
+        cores = 4 * spark.sparkContext.defaultParallelism
+        parts, self.shares = (max(1, -(-rows // most), min(cores, rows // 4)) for rows, most in ((blocks, PART), (packs, SHARE)))
+        ranged = keyed.repartitionByRange(parts, "pivot", "key", F.xxhash64("row")).sortWithinPartitions("pivot", "key")
         self.blocks = written(ranged.mapInArrow(_blocks(bounds), BLOCK), "negatives-blocks")
-        heads = self.blocks.groupBy("dim", "strip").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("blocks")).collect()
+        heads = self.blocks.groupBy("dim", "strip").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect()
         at = {s: p for p, (first, cut) in bounds.items() for s in range(first, first + len(cut) + 1)}
-        self.strips, self.parts = {}, {r.strip: -(-r.blocks // PART) for r in heads}
+        self.strips = {}
         for dim, (first, vectors_) in pivots.items():
             mine = sorted((r.strip, at[r.strip] - first, r.least, r.most) for r in heads if r.dim == dim)
             number, of, least, most = (np.array(x) for x in zip(*mine, strict=True))
             self.strips[dim] = (vectors_, longest[dim], number, of, least, most)
-        asked = keyed.where("asked").withColumn("dim", F.size("v")).repartitionByRange("dim", "near", F.xxhash64("row")).sortWithinPartitions("dim", "near", "row")
+        asked = keyed.where("asked").withColumn("dim", F.size("v")).repartitionByRange(self.shares, "dim", "near", F.xxhash64("row")).sortWithinPartitions("dim", "near", "row")
         self.packs = written(asked.select("row", "vec_id", "label", "v", "dim").mapInArrow(_packs, PACK), "negatives-packs")
         discard(keyed)
-        self.shares = max(1, -(-self.packs.count() // SHARE))
 
     def search(self, packs: DataFrame, k: int, slots: int, same: bool) -> DataFrame:
         """The best k rows of each slot of each anchor: pack, query_row, slot, vec_id, row, score, rank. The packs have low and high."""
         none = F.lit(None)
         state = packs.withColumns({"bar": F.col("low"), "done": F.lit(0), "strips": none.cast("array<int>")})
-        parts = F.create_map(*(F.lit(x) for pair in self.parts.items() for x in pair))  # a number for each strip
-        blocks = self.blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.element_at(parts, F.col("strip"))).cast("int"))
-        blocks = blocks.select("strip", "part", "longest", *(F.col(c).alias(f"b_{c}") for c in ("rows", "ids", "labels", "m")), F.explode(F.sequence(F.lit(0), F.lit(self.shares - 1))).alias("share"))
         order = Window.partitionBy("query_row", "slot").orderBy(F.desc("score"), "vec_id", "row")
         best, width = None, FIRST
         while True:
@@ -338,15 +385,21 @@ class Index:
             if asked.isEmpty():
                 discard(asked)
                 break
-            each = asked.withColumn("strip", F.explode("strips")).withColumn("share", F.pmod(F.xxhash64("pack"), F.lit(self.shares)).cast("int"))
-            each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("strip")) - 1)))
-            met = each.select(*_names(PACK), "low", "high", "bar", "strip", "part", "share").join(blocks, ["strip", "part", "share"])
-            found = met.drop("strip", "part", "share").mapInArrow(_scanned(k, slots, same), FOUND)
+            folder = f"{shared_dir(self.spark).rstrip('/')}/negatives-packs-{uuid.uuid4().hex}"
+            # a name for each pack, and the numbers of at most PIVOTS * STRIPS strips
+            files = written(asked.mapInArrow(_filed(folder), FILED), "negatives-files").collect()
+            of, strip = np.repeat(np.arange(len(files), dtype=np.int32), [len(r.strips) for r in files]), np.concatenate([np.array(r.strips, np.int32) for r in files])
+            by_strip = np.argsort(strip, kind="stable")
+            scan = _scanned(folder, [r.name for r in files], of[by_strip], strip[by_strip], k, slots, same)
+            blocks = self.blocks.where(F.col("strip").isin(np.unique(strip).tolist()))
+            found = blocks.select("strip", "dim", "longest", "rows", "ids", "labels", "m").mapInArrow(scan, FOUND)
             if best is not None:
                 found = found.unionAll(best.drop("rank"))
             last, best = best, written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "negatives-found")
             if last is not None:
                 discard(last)
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
             # a pack holds few anchors, an anchor has one k-th row a slot
             bars = best.where(F.col("rank") == k).groupBy("pack").agg(F.collect_list(F.struct("query_row", "slot", "score")).alias("bars"))
             state = asked.select("pack", "strips").join(bars, "pack", "left")
@@ -357,6 +410,10 @@ class Index:
             return self.spark.createDataFrame([], f"{FOUND}, rank int")
         return best
 
+    def beside(self, packs: DataFrame, told: DataFrame) -> DataFrame:
+        """Packs with what is told of them, by a shuffle: vectors pack well, so the size of a file says little of what sending it to all takes."""
+        return packs.repartition(self.shares, "pack").hint("merge").join(told, "pack")
+
     def _risen(self, packs: DataFrame, told: DataFrame, slots: int) -> DataFrame:
         """The packs that were asked, with their bars and the strips they have seen."""
         def rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +428,7 @@ class Index:
 
         seen = F.col("strips") if "strips" in packs.columns else F.lit(None).cast("array<int>")
         old = packs.select(*_names(PACK), "low", "high", seen.alias("seen"))
-        return old.join(told, "pack").mapInArrow(rise, TAKEN)
+        return self.beside(old, told).mapInArrow(rise, TAKEN)
 
 
 def _unbounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +466,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     everything = index.packs.mapInArrow(_unbounded, f"{PACK}, low binary, high binary")
     near = index.search(written(everything, "negatives-asked"), positives, 1, True)
     told = near.groupBy("pack").agg(F.collect_list(F.struct("query_row", "rank", "score")).alias("positives"))  # of a pack's few anchors
-    windows = index.packs.join(told, "pack").mapInArrow(_windows(positives, least, most), f"{PACK}, low binary, high binary")
+    windows = index.beside(index.packs, told).mapInArrow(_windows(positives, least, most), f"{PACK}, low binary, high binary")
     far = index.search(written(windows, "negatives-asked"), negatives, positives, False)
     good = near.select("query_row", (F.col("rank") - 1).alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = far.select("query_row", "slot", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(good, ["query_row", "slot"])

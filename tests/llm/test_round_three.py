@@ -106,6 +106,21 @@ def test_negatives_in_many_strips_and_packs(spark, monkeypatch):
     assert got == brute_negatives(values, anchors=lambda i: i % 10 == 0)
 
 
+def test_packs_are_not_sent_along_with_blocks(spark, monkeypatch):
+    """Rows of blocks are read many at a time, so files are small; no join multiplies packs by strips."""
+    for name, value in (("STRIP", 8), ("PART", 8), ("BLOCK_ROWS", 4), ("PACK_ROWS", 3), ("SHARE", 2)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    values = [(k, k % 3, [float(x) for x in np.random.default_rng(k).normal(0, 1, 5)]) for k in range(400)]
+    index = hard_negatives.Index(spark.createDataFrame(values, "vec_id long, label int, embedding array<double>"), F.col("vec_id") % 10 == 0)
+    for table, most in ((index.blocks, 8), (index.packs, 2)):
+        files = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert len(files) > 1 and max(files) <= 4 * most, files
+    met = []
+    monkeypatch.setattr(hard_negatives, "written", lambda df, what, real=hard_negatives.written: (met.append((what, df._jdf.queryExecution().optimizedPlan().toString())), real(df, what))[1])
+    index.search(hard_negatives.written(index.packs.mapInArrow(hard_negatives._unbounded, f"{hard_negatives.PACK}, low binary, high binary"), "first"), 2, 1, True)
+    assert [what for what, plan in met if what == "negatives-found" and "Join" in plan] == []
+
+
 def test_negatives_edges(spark):
     wide = [(k, k % 2, [float(2**27 + k), float(2**26)]) for k in (0, 1, 2, 50)]  # products of more than 53 bits
     odd = [(None, 1, [1.0, 1.0]), (51, None, [1.0, 1.0]), (52, 1, None), (53, 1, []), (54, 1, [None, 1.0]), (55, 1, [float("nan"), 1.0]), (100, 1, [1.0, 0.5, 0.25])]
