@@ -38,3 +38,24 @@ def test_known_regions_and_none(spark):
     assert [r.region for r in found.orderBy("row_id").collect()] == [r.want for r in found.orderBy("row_id").collect()] != []
     none = region_table.first_region(df, region_table.known_regions(spark).where("false"), "row_id")
     assert none.count() == 6 and none.where("region is not null").count() == 0
+
+
+def test_boxes_over_one_another_leave_few(spark):
+    """A point meets the boxes that can be its first, not all that hold it: ten times as many boxes aren't ten times as many candidates."""
+    rng = random.Random(3)
+    boxes = [(rng.randrange(50), f"r{k}", lat, lat + rng.uniform(0.5, 2), lon, lon + rng.uniform(0.5, 2)) for k in range(6000) for lat, lon in [(rng.uniform(36, 40), rng.uniform(-10, -6))]]
+    points = [(k, rng.uniform(36.5, 41), rng.uniform(-9.5, -5)) for k in range(300)]
+    met = []
+    for n in (600, 6000):
+        cells = region_table._cells(spark.createDataFrame(boxes[:n], BOXES)).collect()
+        met.append(sum(c.i == lat // 2.0**c.level and c.j == lon // 2.0**c.level for c in cells for _, lat, lon in points))
+    assert met[1] < 2 * met[0] and met[1] < 40 * len(points), met
+    found = region_table.first_region(spark.createDataFrame(points, "row_id int, lat double, lon double"), spark.createDataFrame(boxes, BOXES), "row_id")
+    assert {r.row_id: r.region for r in found.collect()} == {k: brute(a, o, boxes) for k, a, o in points}
+
+
+def test_equal_edges_end_the_cutting(spark):
+    boxes = [(k, f"r{k}", 41.0 - k / 1000, 42.0, -9.0, -8.0 + k / 1000) for k in range(500)]  # one upper edge, one western edge
+    points = [(0, 42.0, -9.0), (1, 42.0, -8.2), (2, 42.0 + 1e-12, -9.0), (3, 40.6, -8.0), (4, 41.5, -9.0 - 1e-12), (5, 41.0, -7.7)]
+    found = region_table.first_region(spark.createDataFrame(points, "row_id int, lat double, lon double"), spark.createDataFrame(boxes, BOXES), "row_id")
+    assert {r.row_id: r.region for r in found.collect()} == {k: brute(a, o, boxes) for k, a, o in points}
