@@ -35,8 +35,10 @@ def number_text(value: Column) -> Column:
     # the first of one to seventeen digits that reads back; such values are few
     tries = [F.format_string(f"%.{places}e", F.abs(value)) for places in range(17)]
     power = F.coalesce(*(F.when(t.cast("double") == F.abs(value), t) for t in tries))
+    # a double's own text is that decimal where it has no power of ten, and costs least
+    near = F.abs(value).between(1e-3, 9999999.0)
     text = F.when((F.abs(value) >= 1e16) | ((F.abs(value) < 1e-4) & (value != 0)), power).otherwise(plain)
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.concat(sign, text))
+    return F.when(near, value.cast("string")).when(~F.isnan(value) & (F.abs(value) < float("inf")), F.concat(sign, text))
 
 
 def wkt_point(lat: Column, lon: Column) -> Column:

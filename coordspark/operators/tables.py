@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most rows of a small frame that is sent to all tasks.
 SMALL = 50_000
+#: Fixed value: bytes of a method beyond which the JVM runs it without compiling it.
+COMPILED = 8000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,10 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints/coordspark").rstrip("/")
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, stages whose generated method is too large to be compiled are generated in smaller ones."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), COMPILED)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The frame as a Parquet table: what it took to make it ends there, for the plan and for lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with compiled(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

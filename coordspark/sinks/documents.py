@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.functions import formatting
-from coordspark.operators.tables import fitted
+from coordspark.operators.tables import compiled, fitted
 
 HEAD, FOOT = -1, 1 << 62
 METADATA = list[tuple[str, str]]
@@ -127,7 +127,8 @@ def write_parts(lines: DataFrame, folder: str, parts: int | None = None) -> None
     """
     by = ("source_id", "pos")
     ranged = lines.repartitionByRange(parts, *by) if parts else lines.repartitionByRange(*by)
-    ranged.sortWithinPartitions(*by).select("source_id", F.col("line").alias("value")).write.partitionBy("source_id").text(folder)
+    with compiled(lines.sparkSession):
+        ranged.sortWithinPartitions(*by).select("source_id", F.col("line").alias("value")).write.partitionBy("source_id").text(folder)
 
 
 def write_lines(lines: DataFrame, folder: str) -> None:

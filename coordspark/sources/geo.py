@@ -135,9 +135,9 @@ def _numeric(value: Column) -> Column:
 
 
 def _place(coordinates: Column, k: int) -> Column:
-    """A number of a position, as text; null for anything else."""
+    """A number of a position; null for anything else."""
     value = F.get(coordinates, F.lit(k))
-    return F.when(_numeric(value), _number(F.variant_get(value, "$", "double")))
+    return F.when(_numeric(value), F.variant_get(value, "$", "double"))
 
 
 def _collection(text: Column) -> Column:
@@ -169,20 +169,23 @@ def _features(each: DataFrame) -> DataFrame:
     code = F.when(F.lower(crs_name).isin(*WGS84_NAMES), "").otherwise(F.regexp_extract(crs_name, EPSG, 1))
     keys = F.coalesce(F.json_object_keys("f.properties"), F.expr(EMPTY))
     values, typed = F.from_json("f.properties", "map<string,string>"), F.from_json("f.properties", "map<string,variant>")
-    each = each.withColumns({"keys": keys, "values": values, "typed": typed})
+    # columns of their own on the way: what follows names each many times, and the plan reads it once
+    each = each.withColumns({"keys": keys, "values": values, "typed": typed, "code": F.coalesce(code, F.lit("")), "place": place})
+    each = each.withColumns({f"at{k}": _place(F.col("place"), k) for k in range(3)})
+    each = each.withColumns({n: _number(F.col(f"at{k}")) for k, n in enumerate(("lon", "lat", "alt"))})
     props = F.transform("keys", lambda k: F.struct(k.alias("k"), _json_text(F.element_at("values", k), F.element_at("typed", k)).alias("v")))
     own = F.when(F.col("f.id").isNotNull() & (F.col("f.type") == "Feature"), F.array(F.struct(F.lit("id").alias("k"), F.col("f.id").alias("v")))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
-    read = each.select(*others, F.lit(None).cast("string").alias("name"), _place(place, 1).alias("lat"), _place(place, 0).alias("lon"), F.coalesce(_place(place, 2), F.lit("")).alias("alt"), F.concat(own, props).alias("props"), (_place(place, 0).isNotNull() & _place(place, 1).isNotNull()).alias("point"), F.coalesce(code, F.lit("")).alias("code"))
+    read = each.select(*others, F.lit(None).cast("string").alias("name"), "lat", "lon", F.coalesce("alt", F.lit("")).alias("alt"), F.concat(own, props).alias("props"), (F.col("lon").isNotNull() & F.col("lat").isNotNull()).alias("point"), "code")
     return read.withColumn("projected", F.col("code") != "")
 
 
-def geojson_files(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Points and notes as of ``geojson``, of files that are read in splits.
+def geojson_files(spark: SparkSession, path: str | list[str], parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Points and notes as of ``geojson``, of files that are read in splits; with ``parts`` a folder's files are one document.
 
     Points are numbered by the counts of the splits before theirs, so no file is ordered as a
     whole. Files that can't be read (see ``geojson_splits.features``) are notes.
     """
-    found, frames, problems = geojson_splits.features(spark, path)
+    found, frames, problems = geojson_splits.features(spark, path, parts=parts)
     frames = written(frames.withColumn("d", _collection(F.col("text"))).select("source_id", "d.crs", F.col("d.type").eqNullSafe("FeatureCollection").alias("many"), F.col("text").alias("x")), "geojson-frames")
     tops = frames.where("many").select("source_id", "crs")
     alone = frames.where("not many").select("source_id", "crs", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("nth"), "x")

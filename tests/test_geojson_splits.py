@@ -5,6 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from coordspark.functions.formatting import number_text
+from coordspark.operators.tables import COMPILED, compiled
+from coordspark.sinks import documents as sinks
 from coordspark.sources import geo, geojson_splits
 
 
@@ -144,3 +147,48 @@ def test_many_splits_are_ordered_after_a_shuffle(spark, tmp_path, small_splits,
         monkeypatch.setattr(f"{module}.SMALL", 3)
     found, _, _ = geojson_splits.features(spark, str(tmp_path))
     assert [json.loads(r.x)["k"] for r in found.orderBy("at", "nth").select(F.col("x"), "at", "nth").collect()] == list(range(80))
+
+
+@pytest.mark.parametrize("size", [500, 1 << 20])
+def test_files_of_a_folder_are_one_document(spark, tmp_path, small_splits, size):
+    rng = random.Random(size)
+    texts = documents(rng)
+    for name, text in texts.items():
+        folder, cuts = tmp_path / f"a={name} x", [k for k in range(1, len(text)) if text[k - 1] in ",}"]
+        folder.mkdir()
+        ends = sorted({0, *rng.sample(cuts, min(5, len(cuts))), len(text)})
+        for k, (a, b) in enumerate(zip(ends, ends[1:])):
+            (folder / f"part-{k:05}.txt").write_bytes(text[a:b].encode())
+    small_splits(size)
+    found, told = geo.geojson_files(spark, f"{tmp_path}/*/*", parts=True)
+    name = lambda s: s.split("=")[-1].removesuffix("%20x")
+    got = [(name(r[0]), *r[1:]) for r in rows(found)], [(name(n[0]), *n[1:]) for n in notes(told)]
+    points, skipped = geo.geojson(spark.createDataFrame(list(texts.items()), "source_id string, text string"))
+    assert got == (rows(points), notes(skipped))
+
+
+def test_written_in_parts_and_read_again(spark, tmp_path, small_splits):
+    rows_ = spark.range(900).select(F.lit("a }b").alias("source_id"), (F.col("id") * 2).alias("row_id"), (F.col("id") / 64).alias("Latitude_DD"), (-F.col("id") / 32).alias("Longitude_DD"), F.concat(F.lit('"features":[{\\'), "id").alias("name"))
+    sinks.write_parts(sinks.geojson(rows_, [("by", "}]")]), str(tmp_path / "out"), 6)
+    assert len(list(tmp_path.glob("out/*/part-*"))) >= 5
+    small_splits(9000, 100)
+    found, told = geo.geojson_files(spark, f"{tmp_path}/out/*/*", parts=True)
+    got = [(r.row_id, r.lat, r.props[0].v) for r in found.orderBy("row_id").collect()]
+    text = lambda x: str(int(x)) if x == int(x) else repr(x)
+    assert got == [(k, text(k / 64), '"features":[{\\' + str(k)) for k in range(900)]
+    assert found.select("source_id").distinct().count() == 1 and told.count() == 0
+
+
+def test_large_methods_are_not_left_uncompiled(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), compiled(spark):
+        assert int(spark.conf.get(name)) <= COMPILED
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
+def test_number_text_is_as_short_as_a_double_reads_back(spark):
+    values = [0.0, -0.0, 0.001, 0.0009, -38.123456, 9999999.0, 9999999.5, 1e7, 123456789.25, 1 / 3, 1e-5, 1e16, 0.1 + 0.2]
+    got = [r.t for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", number_text(F.col("v")).alias("t")).orderBy("k").collect()]
+    assert got == [repr(v) for v in values]
