@@ -171,8 +171,9 @@ def test_repeats_of_hot_groups(spark, group, block):
     assert long_repeats.remove(df.where("false")).count() == 0
 
 
-def test_repeats_of_one_key_are_several_tasks(spark, monkeypatch):
-    """A passage that all texts share gives one key very many segments, which Spark can deal to several tasks."""
+@pytest.mark.parametrize("shared, group, of", [(20, 1 << 18, ("repeats-near", 0)), (32, 60, ("repeats-pieces", 1))])
+def test_repeats_of_one_key_are_several_tasks(spark, monkeypatch, shared, group, of):
+    """A passage that all texts share gives one key very many segments, which Spark can deal to several tasks; where they are cut again, too."""
     small = {f"adaptive.{k}": v for k, v in (("advisoryPartitionSizeInBytes", "2k"), ("skewJoin.skewedPartitionThresholdInBytes", "2k"), ("skewJoin.skewedPartitionFactor", "1.5"), ("coalescePartitions.enabled", "false"))}
     small |= {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "16"}
     before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
@@ -181,22 +182,22 @@ def test_repeats_of_one_key_are_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(long_repeats, "discard", lambda *tables: None)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
-    passage = word(20)
+    passage = word(shared)
     texts = [f"{word(30)}{passage}{word(20)}" for _ in range(1500)]
     for k, v in small.items():
         spark.conf.set(f"spark.sql.{k}", v)
     try:
         df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
-        found = long_repeats.remove(df, length=20, gram=6).collect()
+        found = long_repeats.remove(df, length=20, gram=6, group=group).collect()
     finally:
         for k, v in before.items():
             spark.conf.set(f"spark.sql.{k}", v)
     want = Counter((t, tuple(w)) for t, w in zip(texts, long_repeats.brute_force([t.encode() for t in texts], 20)))
     assert Counter((r.text, tuple(spans_of(r.repeats))) for r in found) == want
-    (near,) = made["repeats-near"]
-    hot = near.groupBy("key").count().orderBy(F.desc("count")).first()
+    held = made[of[0]][of[1]]
+    hot = held.groupBy("key").count().orderBy(F.desc("count")).first()
     assert hot["count"] >= len(texts)
-    tasks = [r["count"] for r in near.where(F.col("key") == hot["key"]).groupBy(F.input_file_name()).count().collect()]
+    tasks = [r["count"] for r in held.where(F.col("key") == hot["key"]).groupBy(F.input_file_name()).count().collect()]
     assert len(tasks) > 1 and max(tasks) < hot["count"] / 2, tasks
 
 
